@@ -42,36 +42,56 @@ def truth_flag(text: Column) -> Column:
     return F.lower(text).eqNullSafe(F.lit("true")).cast("int")
 
 
-def parse_changes(messages: DataFrame, ingest_ms: Column | int | None = None) -> DataFrame:
-    """Typed change rows from messages with a ``value`` text column.
+def rows_where(df: DataFrame, kept: list[str], condition: Column, row: Column, present: str) -> DataFrame:
+    """``kept`` and the fields of ``row``, for rows that meet the condition.
+
+    A plain filter would be moved below the projection that parses the text
+    and parse it a second time. The outer generator stays where it is, and
+    the filter behind it looks at ``present``, a field that is never NULL in a row.
+    """
+    made = df.select(*kept, F.inline_outer(F.when(condition, F.array(row))))
+    return made.where(F.col(present).isNotNull())
+
+
+def typed_changes(rows: DataFrame, ingest_ms: Column | int | None = None) -> DataFrame:
+    """Typed change rows from the fields of a flat message.
 
     ``version`` is the later of source and ingest time; ``ingest_ms=0`` gives
-    pure source order, ``None`` takes the clock. Messages without a positive
-    key, including those that are not JSON, are left out. Other columns of
-    ``messages`` (such as ``seq``) are kept.
+    pure source order, ``None`` takes the clock. Rows without a positive key
+    are left out. Columns that are not message fields (such as ``seq``) are kept.
     """
     if ingest_ms is None:
         ingest_ms = F.unix_millis(F.current_timestamp())
     elif isinstance(ingest_ms, int):
         ingest_ms = F.lit(ingest_ms).cast("bigint")
-    kept = [c for c in messages.columns if c != "value"]
-    body = F.from_json("value", MESSAGE_SCHEMA)
-    rows = messages.select(*kept, body.alias("m"))
-    source_ms = integer_or_zero(F.col("m.__source_ts_ms"))
-    return rows.select(
-        *kept,
-        integer_or_zero(F.col("m.inventory_movement_id")).alias("inventory_movement_id"),
-        integer_or_zero(F.col("m.product_id")).alias("product_id"),
-        integer_or_zero(F.col("m.warehouse_id")).alias("warehouse_id"),
-        F.coalesce(F.col("m.movement_type"), F.lit("")).alias("movement_type"),
-        quantity_or_zero(F.col("m.quantity")).alias("quantity"),
-        millis_or_null(F.col("m.moved_at")).alias("moved_at"),
-        integer_or_zero(F.col("m.employee_id")).alias("employee_id"),
-        F.coalesce(F.col("m.__op"), F.lit("")).alias("cdc_op"),
+    kept = [c for c in rows.columns if c not in MESSAGE_FIELDS]
+    text = {name: F.col(name).cast("string") for name in MESSAGE_FIELDS}
+    key = integer_or_zero(text["inventory_movement_id"])
+    source_ms = integer_or_zero(text["__source_ts_ms"])
+    row = F.struct(
+        key.alias("inventory_movement_id"),
+        integer_or_zero(text["product_id"]).alias("product_id"),
+        integer_or_zero(text["warehouse_id"]).alias("warehouse_id"),
+        F.coalesce(text["movement_type"], F.lit("")).alias("movement_type"),
+        quantity_or_zero(text["quantity"]).alias("quantity"),
+        millis_or_null(text["moved_at"]).alias("moved_at"),
+        integer_or_zero(text["employee_id"]).alias("employee_id"),
+        F.coalesce(text["__op"], F.lit("")).alias("cdc_op"),
         source_ms.alias("cdc_source_ts_ms"),
         F.greatest(source_ms, ingest_ms).alias("version"),
-        truth_flag(F.col("m.__deleted")).alias("is_deleted"),
-    ).where(F.col("inventory_movement_id") > 0)
+        truth_flag(text["__deleted"]).alias("is_deleted"),
+    )
+    return rows_where(rows, kept, key > 0, row, "inventory_movement_id")
+
+
+def parse_changes(messages: DataFrame, ingest_ms: Column | int | None = None) -> DataFrame:
+    """Typed change rows from messages with a ``value`` text column.
+
+    Messages that are not JSON have no key and are left out with those.
+    """
+    kept = [c for c in messages.columns if c != "value"]
+    rows = messages.select(*kept, F.from_json("value", MESSAGE_SCHEMA).alias("m")).select(*kept, "m.*")
+    return typed_changes(rows, ingest_ms)
 
 
 def unreadable_changes(messages: DataFrame) -> DataFrame:
@@ -94,16 +114,17 @@ def flatten_envelope(messages: DataFrame, row_schema: str, table: str | None = N
     kept = [c for c in messages.columns if c != "value"]
     read = messages.where("value IS NOT NULL").select(*kept, F.from_json("value", envelope).alias("e"))
     deleted = F.col("e.op") == "d"
-    rows = read.where("e.op IS NOT NULL").select(
-        *kept,
+    wanted = F.col("e.op").isNotNull()
+    if table is not None:
+        wanted = wanted & (F.col("e.source.table") == table)
+    row = F.struct(
         F.when(deleted, F.col("e.before")).otherwise(F.col("e.after")).alias("r"),
         F.col("e.op").alias("__op"),
         F.col("e.source.table").alias("__table"),
         F.col("e.source.ts_ms").alias("__source_ts_ms"),
         F.when(deleted, "true").otherwise("false").alias("__deleted"),
     )
-    if table is not None:
-        rows = rows.where(F.col("__table") == table)
+    rows = rows_where(read, kept, wanted, row, "__op")
     return rows.select(*kept, "r.*", "__op", "__table", "__source_ts_ms", "__deleted")
 
 

@@ -36,17 +36,26 @@ def sorted_chunks(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> tuple[DataFrame, int]:
+    """The rows with dense ids ``start, start+1, …`` in ``order_by`` order, and how many there are."""
+    rows = sorted_chunks(df, order_by)
+    # One number per sort partition comes to the driver: bounded by the
+    # partition count, not by the data.
+    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1))).orderBy("_chunk").collect()
+    firsts, used = [], 0
+    for chunk, size in sizes:
+        firsts.append(f"({chunk}L, {start + used}L)")
+        used += size
+    if not firsts:
+        return rows.select(*df.columns, F.lit(None).cast("bigint").alias(name)), 0
+    offsets = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(firsts)} AS offsets(_chunk, _first)")
+    ids = (F.col("_first") + F.col("_place")).alias(name)
+    return rows.join(F.broadcast(offsets), "_chunk").select(*df.columns, ids), used
+
+
 def assign_ids(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> DataFrame:
     """Dense ids ``start, start+1, …`` in ``order_by`` order, as column ``name``."""
-    rows = sorted_chunks(df, order_by)
-    # One row per sort partition, so this table is bounded by the partition
-    # count and not by the data; that makes the one-task window and the
-    # broadcast safe.
-    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    numbered = rows.join(F.broadcast(offsets), "_chunk")
-    return numbered.select(*df.columns, (F.col("_offset") + F.col("_place") + start).cast("bigint").alias(name))
+    return numbered(df, name, order_by, start)[0]
 
 
 def next_id(df: DataFrame, id_col: str) -> int:
@@ -61,11 +70,9 @@ def assign_cyclic(df: DataFrame, n: str, pool: DataFrame, pool_id: str, name: st
     on the position, so it may be of any size; a small one is broadcast by
     Spark's own size check.
     """
-    numbered = assign_ids(pool.select(F.col(pool_id).alias(name)), "_position", [name])
-    size = numbered.agg(F.count(F.lit(1)).alias("_size"))
-    sized = df.crossJoin(F.broadcast(size)).where("_size > 0")
-    placed = sized.withColumn("_position", F.expr(f"pmod({n} - 1, _size) + 1"))
-    return placed.join(numbered, "_position").select(*df.columns, name)
+    places, size = numbered(pool.select(F.col(pool_id).alias(name)), "_position", [name], start=0)
+    placed = df.withColumn("_position", F.pmod(F.col(n) - 1, F.lit(max(size, 1))))
+    return placed.join(places, "_position").select(*df.columns, name)
 
 
 def previous_value(

@@ -62,20 +62,20 @@ def sizes(n: int) -> dict[str, int]:
     }
 
 
-def categories(spark: SparkSession) -> DataFrame:
+def categories(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     named = inline_rows(spark, CATEGORIES, "category_name")
     place = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category_name"))
     return named.select(place.alias("category_id"), "category_name")
 
 
-def brands(spark: SparkSession, n: int) -> DataFrame:
+def brands(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     i = F.col("n")
     return series(spark, sizes(n)["brands"]).select(
         i.alias("brand_id"), F.format_string("Brand %d", i).alias("brand_name")
     )
 
 
-def locations(spark: SparkSession, n: int) -> DataFrame:
+def locations(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     i = F.col("n")
     return series(spark, sizes(n)["warehouses"]).select(
         i.alias("warehouse_id"),
@@ -84,7 +84,7 @@ def locations(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
-def suppliers(spark: SparkSession, n: int) -> DataFrame:
+def suppliers(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     i = F.col("n")
     return series(spark, sizes(n)["suppliers"]).select(
         i.alias("supplier_id"),
@@ -116,7 +116,7 @@ def customers(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     )
 
 
-def products(spark: SparkSession, n: int) -> DataFrame:
+def products(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     i = F.col("n")
     return series(spark, sizes(n)["products"]).select(
         i.alias("product_id"),
@@ -146,7 +146,7 @@ def line_product(n: int) -> Column:
     return cyclic(F.col("order_n") + F.col("line_n") - 1, sizes(n)["products"])
 
 
-def supplier_order_items(spark: SparkSession, n: int) -> DataFrame:
+def supplier_order_items(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     order, line = F.col("order_n"), F.col("line_n")
     return grid(spark, 2 * n, 2).select(
         (line_number(2) + SUPPLIER_ORDER_ITEM_BASE).alias("supplier_order_item_id"),
@@ -191,7 +191,7 @@ def customer_orders(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     )
 
 
-def customer_order_items(spark: SparkSession, n: int) -> DataFrame:
+def customer_order_items(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     order, line = F.col("order_n"), F.col("line_n")
     return grid(spark, 5 * n, 4).select(
         (line_number(4) + CUSTOMER_ORDER_ITEM_BASE).alias("customer_order_item_id"),
@@ -214,7 +214,7 @@ def shipments(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     )
 
 
-def shipment_items(spark: SparkSession, n: int) -> DataFrame:
+def shipment_items(spark: SparkSession, n: int, as_of: object) -> DataFrame:
     order, line = F.col("order_n"), F.col("line_n")
     return grid(spark, 5 * n, 2).select(
         (line_number(2) + SHIPMENT_ITEM_BASE).alias("shipment_item_id"),
@@ -282,27 +282,31 @@ def movements(tables: dict[str, DataFrame], non_overlapping_ids: bool = False) -
     return upsert(shipped, received, [key])
 
 
+# Builders of the generated tables: (session, seed count, clock) -> rows.
+TABLES = {
+    "product_categories": categories,
+    "brands": brands,
+    "warehouses": locations,
+    "suppliers": suppliers,
+    "employees": employees,
+    "customers": customers,
+    "products": products,
+    "supplier_orders": supplier_orders,
+    "supplier_order_items": supplier_order_items,
+    "goods_receipts": goods_receipts,
+    "goods_receipt_items": goods_receipt_items,
+    "customer_orders": customer_orders,
+    "customer_order_items": customer_order_items,
+    "shipments": shipments,
+    "shipment_items": shipment_items,
+}
+
+
 def generate(spark: SparkSession, n: int, as_of: object) -> dict[str, DataFrame]:
     """All generated tables but the movements, which :func:`movements` makes from them."""
     if n < 1:
         raise ValueError("the seed count has to be at least 1")
-    return {
-        "product_categories": categories(spark),
-        "brands": brands(spark, n),
-        "warehouses": locations(spark, n),
-        "suppliers": suppliers(spark, n),
-        "employees": employees(spark, n, as_of),
-        "customers": customers(spark, n, as_of),
-        "products": products(spark, n),
-        "supplier_orders": supplier_orders(spark, n, as_of),
-        "supplier_order_items": supplier_order_items(spark, n),
-        "goods_receipts": goods_receipts(spark, n, as_of),
-        "goods_receipt_items": goods_receipt_items(spark, n, as_of),
-        "customer_orders": customer_orders(spark, n, as_of),
-        "customer_order_items": customer_order_items(spark, n),
-        "shipments": shipments(spark, n, as_of),
-        "shipment_items": shipment_items(spark, n),
-    }
+    return {name: build(spark, n, as_of) for name, build in TABLES.items()}
 
 
 # Tables written by each seed step, with the key rows are merged on. Names and

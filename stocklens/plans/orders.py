@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stocklens.functions.scalars import draw, instant, order_status
 from stocklens.operators.latest import latest_per_key
-from stocklens.operators.ordered import assign_ids, previous_value
+from stocklens.operators.ordered import assign_ids, numbered, previous_value
 
 # Lines per created order, price range, address ranges, delivery window, note texts.
 LINES_PER_ORDER = 3
@@ -42,19 +42,27 @@ class StatusChanges(NamedTuple):
     notes: DataFrame
 
 
-def distinct_picks(seed: int, request: Column, size: Column) -> list[Column]:
-    """Three different positions in ``0 … size-1``; NULL where the pool is too small.
+def with_distinct_picks(df: DataFrame, seed: int, request: Column, size: int, name: str) -> DataFrame:
+    """Add an array of up to three different positions in ``0 … size-1``.
 
     Each draw is made among the positions not taken yet and moved past the
-    taken ones in ascending order.
+    taken ones in ascending order. Every step is a column of its own, so that
+    a draw is computed once however often later steps use it.
     """
-    free = [F.when(size > i, F.pmod(draw(seed + i, request), size - i)) for i in range(3)]
-    first = free[0]
-    second = free[1] + (free[1] >= first).cast("bigint")
-    low, high = F.least(first, second), F.greatest(first, second)
-    third = free[2] + (free[2] >= low).cast("bigint")
-    third = third + (third >= high).cast("bigint")
-    return [first, second, third]
+    count = min(size, LINES_PER_ORDER)
+    free = {f"_free{i}": F.pmod(draw(seed + i, request), F.lit(size - i)) for i in range(count)}
+    picked = df.withColumns(free) if free else df
+    taken = [F.col("_free0")]
+    if count > 1:
+        picked = picked.withColumn("_second", F.col("_free1") + (F.col("_free1") >= F.col("_free0")).cast("bigint"))
+        taken.append(F.col("_second"))
+    if count > 2:
+        low, high = F.least(*taken), F.greatest(*taken)
+        picked = picked.withColumn("_past_low", F.col("_free2") + (F.col("_free2") >= low).cast("bigint"))
+        picked = picked.withColumn("_third", F.col("_past_low") + (F.col("_past_low") >= high).cast("bigint"))
+        taken.append(F.col("_third"))
+    picks = F.array(*taken[:count]) if count else F.array().cast("array<bigint>")
+    return picked.withColumn(name, picks).drop(*free, "_second", "_past_low", "_third")
 
 
 def create_orders(
@@ -75,31 +83,29 @@ def create_orders(
     """
     first_order, first_item, first_note = next_ids
     now = instant(as_of)
-    people = assign_ids(customers.select("customer_id"), "_customer_place", ["customer_id"], start=0)
-    goods = assign_ids(products.select("product_id"), "_place", ["product_id"], start=0)
-    sizes = people.agg(F.count(F.lit(1)).alias("_people")).crossJoin(goods.agg(F.count(F.lit(1)).alias("_goods")))
-    numbered = assign_ids(requests.select("request_id"), "_n", ["request_id"], start=0)
+    people, person_count = numbered(customers.select("customer_id"), "_customer_place", ["customer_id"], start=0)
+    goods, product_count = numbered(products.select("product_id"), "_place", ["product_id"], start=0)
+    places = assign_ids(requests.select("request_id"), "_n", ["request_id"], start=0)
+    lines = min(product_count, LINES_PER_ORDER)
     request = F.col("request_id")
-    picks = F.array(*distinct_picks(seed, request, F.col("_goods")))
-    drawn = (
-        numbered.crossJoin(F.broadcast(sizes))
-        .where("_people > 0")
-        .select(
-            "request_id",
-            "_n",
-            (F.col("_n") + first_order).alias("customer_order_id"),
-            F.pmod(draw(seed + 10, request), F.col("_people")).alias("_customer_place"),
-            picks.alias("_picks"),
-            F.least(F.col("_goods"), F.lit(LINES_PER_ORDER)).alias("_lines"),
-        )
+    # Without customers the join below finds none and no order is made.
+    person = F.pmod(draw(seed + 10, request), F.lit(max(person_count, 1)))
+    drawn = with_distinct_picks(places, seed, request, product_count, "_picks").select(
+        "request_id",
+        "_n",
+        (F.col("_n") + first_order).alias("customer_order_id"),
+        person.alias("_customer_place"),
+        "_picks",
     )
     price = F.lit(LOWEST_PRICE) + F.pmod(draw(seed + 20, request, F.col("_i")), F.lit(PRICE_STEPS))
+    # The outer form keeps Spark from repeating the draws in an inferred filter.
+    lines_of = F.posexplode_outer("_picks").alias("_i", "_place")
     items = (
-        drawn.select("request_id", "_n", "_lines", "customer_order_id", F.posexplode("_picks").alias("_i", "_place"))
+        drawn.select("request_id", "_n", "customer_order_id", lines_of)
         .where("_place IS NOT NULL")
         .join(goods, "_place")
         .select(
-            (F.col("_n") * F.col("_lines") + F.col("_i") + first_item).alias("customer_order_item_id"),
+            (F.col("_n") * lines + F.col("_i") + first_item).alias("customer_order_item_id"),
             "customer_order_id",
             "product_id",
             (F.col("_place") + 2).cast("decimal(14,3)").alias("ordered_quantity"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, IntegerType, ShortType, TimestampType
 
-from stocklens.functions.changes import flatten_envelope, parse_changes, to_messages
+from stocklens.functions.changes import flatten_envelope, parse_changes, to_messages, typed_changes
 from stocklens.operators import quality
 from stocklens.operators.latest import current_rows, latest_per_key
 from stocklens.operators.merge import backfill_totals, delete_keys, insert_missing, upsert
@@ -30,6 +30,7 @@ from stocklens.sources.shop import (
     base,
     change_message_stream,
     change_messages,
+    change_table,
     movement_changes,
     shop_tables,
     status_command_stream,
@@ -126,12 +127,12 @@ def order_document_lines(spark, folder):
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    return current_rows(parse_changes(change_messages(spark, folder), ingest_ms=0))
+    return current_rows(change_table(spark, folder))
 
 
 @register
 def current_movements(spark, folder):
-    return current(spark, folder)
+    return current_rows(parse_changes(change_messages(spark, folder), ingest_ms=0))
 
 
 @register
@@ -155,7 +156,7 @@ def current_from_envelopes(spark, folder):
     )
     schema = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.select(*fields).schema.fields)
     flat = flatten_envelope(envelopes, schema, table="inventory_movements")
-    return current_rows(parse_changes(to_messages(flat, keep=["seq"]), ingest_ms=0))
+    return current_rows(typed_changes(flat, ingest_ms=0))
 
 
 @register
@@ -397,7 +398,7 @@ def wrong_order_totals(spark, folder):
 
 @register
 def movement_differences(spark, folder):
-    changes = parse_changes(change_messages(spark, folder), ingest_ms=0)
+    changes = change_table(spark, folder)
     undeleted = latest_per_key(changes.where("is_deleted = 0"), ["inventory_movement_id"], ["version", "seq"])
     return quality.reconcile(
         undeleted, current_rows(changes), "inventory_movement_id", ["movement_type", "quantity", "moved_at"]
@@ -548,7 +549,7 @@ def seed_count(spark: SparkSession, folder: str) -> int:
 
 def register_generated(table: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return generate.generate(spark, seed_count(spark, folder), AS_OF)[table]
+        return generate.TABLES[table](spark, seed_count(spark, folder), AS_OF)
 
     run.__name__ = f"generated_{table}"
     register(run)
@@ -576,4 +577,5 @@ for _table in GENERATED:
 
 @register
 def generated_movements(spark, folder):
-    return generate.movements(generate.generate(spark, seed_count(spark, folder), AS_OF))
+    n = seed_count(spark, folder)
+    return generate.movements({t: generate.TABLES[t](spark, n, AS_OF) for t in generate.MOVEMENT_SOURCES})

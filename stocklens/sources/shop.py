@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.functions.changes import to_messages
+from stocklens.functions.changes import to_messages, typed_changes
 from stocklens.sources.changes import stream_parquet
 
 # Six order states for five event types: 'signup' covers two, by event id.
@@ -23,8 +23,23 @@ PROFILE_OF_EVENT = {
 }
 
 
+# Columns of the given tables that the mapping reads.
+GIVEN = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def base(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(GIVEN[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def mapped(column: str, pairs: dict[str, str], other: Column | None = None) -> Column:
@@ -35,91 +50,133 @@ def mapped(column: str, pairs: dict[str, str], other: Column | None = None) -> C
     return result if other is None else result.otherwise(other)
 
 
-def shop_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    part = base(spark, folder, "part")
-    orders = base(spark, folder, "orders")
-    lines = base(spark, folder, "lineitem")
-    events = base(spark, folder, "events")
-    supplier = base(spark, folder, "supplier")
-    nation = base(spark, folder, "nation")
-    customer = base(spark, folder, "customer")
-    movement_type = (
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    return base(spark, folder, "customer").select(
+        F.col("c_custkey").alias("customer_id"),
+        F.col("c_name").alias("full_name"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_acctbal").cast("decimal(14,2)").alias("balance"),
+    )
+
+
+def warehouses(spark: SparkSession, folder: str) -> DataFrame:
+    supplier, nation = base(spark, folder, "supplier"), base(spark, folder, "nation")
+    return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("warehouse_id"),
+        F.col("s_name").alias("warehouse_name"),
+        F.col("n_name").alias("city"),
+    )
+
+
+def product_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    return base(spark, folder, "part").select(
+        F.col("p_partkey").alias("product_id"),
+        F.col("p_name").alias("product_name"),
+        F.col("p_brand").alias("brand_name"),
+        F.col("p_type").alias("category_name"),
+    )
+
+
+def customer_orders(spark: SparkSession, folder: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "delivered").when(F.col("o_orderstatus") == "O", "new")
+    return base(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("customer_order_id"),
+        F.col("o_custkey").alias("customer_id"),
+        F.concat(F.lit("Dock "), F.col("o_orderpriority")).alias("delivery_address"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        status.otherwise("picking").alias("status"),
+        F.substring("o_orderpriority", 1, 1).cast("smallint").alias("delivery_priority"),
+        F.col("o_totalprice").cast("decimal(14,2)").alias("total_amount"),
+        F.lit(None).cast("int").alias("items_count"),
+        F.lit(None).cast("timestamp").alias("last_status_changed_at"),
+    )
+
+
+def customer_order_items(spark: SparkSession, folder: str) -> DataFrame:
+    # The line items have no key; this number orders the lines of one order.
+    line_id = (
+        F.col("l_linenumber") * F.lit(1_000_000_000_000)
+        + F.col("l_partkey") * F.lit(100)
+        + F.col("l_quantity").cast("bigint")
+    )
+    return base(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("customer_order_id"),
+        line_id.alias("customer_order_item_id"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_quantity").cast("decimal(14,3)").alias("ordered_quantity"),
+        F.col("l_extendedprice").cast("decimal(14,2)").alias("sale_price"),
+    )
+
+
+def inventory_movements(spark: SparkSession, folder: str) -> DataFrame:
+    kind = (
         F.when(F.col("l_returnflag") == "A", "receipt")
         .when(F.col("l_returnflag") == "N", "shipment")
         .when(F.col("l_linestatus") == "F", "write_off")
         .otherwise("adjustment")
     )
-    status = F.when(F.col("o_orderstatus") == "F", "delivered").when(F.col("o_orderstatus") == "O", "new")
+    return base(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_suppkey").alias("warehouse_id"),
+        kind.alias("movement_type"),
+        F.col("l_quantity").cast("decimal(14,3)").alias("quantity"),
+        F.col("l_shipdate").cast("timestamp").alias("moved_at"),
+    )
+
+
+def audit_notes(spark: SparkSession, folder: str) -> DataFrame:
     # Errors pile up on few orders, the other events spread three to an order.
-    noted_order = F.when(F.col("event_type") == "error", F.col("user_id")).otherwise(
-        F.expr("event_id div 3 * 4")
+    order = F.when(F.col("event_type") == "error", F.col("user_id")).otherwise(F.expr("event_id div 3 * 4"))
+    return base(spark, folder, "events").select(
+        F.col("event_id").alias("audit_note_id"),
+        order.alias("customer_order_id"),
+        F.col("event_type").alias("note_type"),
+        F.col("props").alias("note_text"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+    )
+
+
+def requests(spark: SparkSession, folder: str) -> DataFrame:
+    return base(spark, folder, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        mapped("event_type", PROFILE_OF_EVENT).alias("profile"),
+        F.col("value").alias("duration_ms"),
+        F.when(F.col("value") > 300, 500).otherwise(200).alias("status"),
+        (F.col("value") > 300).alias("failed"),
     )
-    return {
-        "customers": customer.select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("full_name"),
-            F.col("c_mktsegment").alias("segment"),
-            F.col("c_acctbal").cast("decimal(14,2)").alias("balance"),
-        ),
-        "warehouses": supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
-            F.col("s_suppkey").alias("warehouse_id"),
-            F.col("s_name").alias("warehouse_name"),
-            F.col("n_name").alias("city"),
-        ),
-        "product_catalog": part.select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_brand").alias("brand_name"),
-            F.col("p_type").alias("category_name"),
-        ),
-        "customer_orders": orders.select(
-            F.col("o_orderkey").alias("customer_order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.concat(F.lit("Dock "), F.col("o_orderpriority")).alias("delivery_address"),
-            F.col("o_orderdate").cast("timestamp").alias("created_at"),
-            status.otherwise("picking").alias("status"),
-            F.substring("o_orderpriority", 1, 1).cast("smallint").alias("delivery_priority"),
-            F.col("o_totalprice").cast("decimal(14,2)").alias("total_amount"),
-            F.lit(None).cast("int").alias("items_count"),
-            F.lit(None).cast("timestamp").alias("last_status_changed_at"),
-        ),
-        "customer_order_items": lines.select(
-            F.col("l_orderkey").alias("customer_order_id"),
-            # The line items have no key; this number orders the lines of one order.
-            (
-                F.col("l_linenumber") * F.lit(1_000_000_000_000)
-                + F.col("l_partkey") * F.lit(100)
-                + F.col("l_quantity").cast("bigint")
-            ).alias("customer_order_item_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").cast("decimal(14,3)").alias("ordered_quantity"),
-            F.col("l_extendedprice").cast("decimal(14,2)").alias("sale_price"),
-        ),
-        "inventory_movements": lines.select(
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("warehouse_id"),
-            movement_type.alias("movement_type"),
-            F.col("l_quantity").cast("decimal(14,3)").alias("quantity"),
-            F.col("l_shipdate").cast("timestamp").alias("moved_at"),
-        ),
-        "customer_order_audit_notes": events.select(
-            F.col("event_id").alias("audit_note_id"),
-            noted_order.alias("customer_order_id"),
-            F.col("event_type").alias("note_type"),
-            F.col("props").alias("note_text"),
-            F.col("ts").cast("timestamp").alias("created_at"),
-        ),
-        "requests": events.select(
-            F.col("ts").cast("timestamp").alias("ts"),
-            mapped("event_type", PROFILE_OF_EVENT).alias("profile"),
-            F.col("value").alias("duration_ms"),
-            F.when(F.col("value") > 300, 500).otherwise(200).alias("status"),
-            (F.col("value") > 300).alias("failed"),
-        ),
-        "status_commands": status_commands(events),
-        "samples": samples(events),
+
+
+class ShopTables(dict):
+    """The derived tables by name; each is set up when it is first asked for."""
+
+    BUILDERS = {
+        "customers": customers,
+        "warehouses": warehouses,
+        "product_catalog": product_catalog,
+        "customer_orders": customer_orders,
+        "customer_order_items": customer_order_items,
+        "inventory_movements": inventory_movements,
+        "customer_order_audit_notes": audit_notes,
+        "requests": requests,
+        "status_commands": lambda spark, folder: status_commands(base(spark, folder, "events")),
+        "samples": lambda spark, folder: samples(base(spark, folder, "events")),
     }
 
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self.spark, self.folder = spark, folder
+
+    def __contains__(self, name) -> bool:
+        return name in self.BUILDERS
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.BUILDERS[name](self.spark, self.folder)
+        return self[name]
+
+
+def shop_tables(spark: SparkSession, folder: str) -> ShopTables:
+    return ShopTables(spark, folder)
+
 
 def status_commands(events: DataFrame) -> DataFrame:
     """Status commands, some with an unknown status and some for unknown orders."""
@@ -178,6 +235,11 @@ def movement_changes(events: DataFrame) -> DataFrame:
     )
 
 
+def change_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The change rows as a typed table, as the loading job leaves them."""
+    return typed_changes(movement_changes(base(spark, folder, "events")), ingest_ms=0)
+
+
 def change_messages(spark: SparkSession, folder: str) -> DataFrame:
     return to_messages(movement_changes(base(spark, folder, "events")), keep=["seq"])
 
