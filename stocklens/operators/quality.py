@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens import schemas
@@ -77,24 +77,28 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Every declared constraint that can be checked on the given tables, with its count."""
     found: list[DataFrame] = []
 
-    def add(kind: str, table: str, subject: str, bad: DataFrame, rows) -> None:
+    def add(kind: str, table: str, subject: Column, counted: DataFrame, rows: str) -> None:
         found.append(
-            bad.agg(F.coalesce(rows, F.lit(0)).cast("bigint").alias("violations")).select(
-                F.lit(kind).alias("check_kind"), F.lit(table).alias("table_name"), F.lit(subject).alias("subject"),
-                "violations",
+            counted.select(
+                F.lit(kind).alias("check_kind"),
+                F.lit(table).alias("table_name"),
+                subject.alias("subject"),
+                F.coalesce(rows, F.lit(0)).cast("bigint").alias("violations"),
             )
         )
 
     for table, df in tables.items():
         for keys in schemas.UNIQUE_KEYS[table]:
-            add("unique", table, ",".join(keys), duplicate_keys(df, keys), F.count(F.lit(1)))
-        for column in schemas.required_columns(table):
-            add("not_null", table, column, df.where(F.col(column).isNull()), F.count(F.lit(1)))
+            repeated = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("rows"))
+            add("unique", table, F.lit(",".join(keys)), repeated, "rows")
+        nulls = missing_values(df, schemas.required_columns(table))
+        add("not_null", table, F.col("column_name"), nulls, "null_rows")
     for (table, column), allowed in schemas.DOMAINS.items():
         if table in tables:
-            add("domain", table, column, outside_domain(tables[table], column, allowed), F.sum("row_count"))
+            bad = outside_domain(tables[table], column, allowed).agg(F.sum("row_count").alias("rows"))
+            add("domain", table, F.lit(column), bad, "rows")
     for child, column, parent, parent_column in schemas.REFERENCES:
         if child in tables and parent in tables:
             bad = orphans(tables[child], column, tables[parent], parent_column)
-            add("reference", child, column, bad, F.sum("child_rows"))
+            add("reference", child, F.lit(column), bad.agg(F.sum("child_rows").alias("rows")), "rows")
     return reduce(DataFrame.unionByName, found)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.functions.scalars import between
-from stocklens.operators.ranking import dense_top_per_group, top_keys
+from stocklens.operators.ranking import BROADCAST_ROWS, dense_top_per_group, top_keys
 
 # Bounds and threshold used when a caller gives none.
 DEFAULT_FROM = "2020-01-01T00:00:00Z"
@@ -48,8 +48,10 @@ def turnover(
     locations = tables["warehouses"].select("warehouse_id", "warehouse_name")
     if top_locations is not None:
         busiest = top_keys(moves, "warehouse_id", "quantity", top_locations)
+        locations = busiest.select("warehouse_id").join(locations, "warehouse_id")
         # At most top_locations rows, whatever the size of the tables.
-        locations = F.broadcast(busiest.select("warehouse_id").join(locations, "warehouse_id"))
+        if top_locations <= BROADCAST_ROWS:
+            locations = F.broadcast(locations)
     quantity = F.col("quantity")
     kind = F.col("movement_type")
     nothing = F.lit(0).cast("decimal(14,3)")

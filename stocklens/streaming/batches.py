@@ -1,0 +1,47 @@
+"""Rows kept by micro-batch, folded into a base table from time to time.
+
+Every batch is written to a directory of its own under its batch id, so a
+batch that is repeated after a failure replaces its first attempt. Compaction
+publishes the newest row per key of the batches so far as a new base; readers
+then need the base and the batches after it only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stocklens.operators.latest import latest_per_key
+from stocklens.sinks.versioned import newest, publish, read_if_there, read_version
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """Base and later batches with their ``batch`` number; batches from ``before`` on are left out."""
+    version, folded = newest(spark, f"{path}/base")
+    rows = read_if_there(spark, f"{path}/batches", f"{schema}, batch BIGINT")
+    if rows is None:
+        rows = spark.createDataFrame([], f"{schema}, batch BIGINT")
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    if version == 0:
+        return rows
+    return read_version(spark, f"{path}/base", version).unionByName(rows.where(F.col("batch") > folded))
+
+
+def compact_batches(
+    spark: SparkSession, path: str, schema: str, keys: list[str], order: list[str], upto_batch: int
+) -> int:
+    """Fold the batches up to ``upto_batch`` into a new base and return its version.
+
+    Folding batches that are in the base already changes nothing. Only
+    finished batches may be folded, since a base cannot take one back.
+    """
+    version, folded = newest(spark, f"{path}/base")
+    if folded is not None and upto_batch <= folded:
+        return version
+    rows = read_batches(spark, path, schema, before=upto_batch + 1)
+    return publish(latest_per_key(rows, keys, order), f"{path}/base", batch_id=upto_batch)

@@ -1,26 +1,24 @@
 """Change stream to current stock movements.
 
-Every micro-batch is written to a directory of its own under its batch id, so
-a batch that is repeated after a failure replaces its first attempt. The
-current state is read from these versions; a compaction job now and then folds
-them into one base table so that readers need not go through all batches.
+The stream only appends parsed versions; the current state is worked out when
+it is read, so late and repeated messages need no special care.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stocklens.functions.changes import parse_changes, unreadable_changes
-from stocklens.operators.latest import current_rows, latest_per_key
-from stocklens.sinks.versioned import newest, publish, read_if_there, read_version
+from stocklens.operators.latest import current_rows
+from stocklens.streaming.batches import compact_batches, read_batches, write_batch
 
-CHANGE_COLUMNS = (
+CHANGES = (
     "seq BIGINT, inventory_movement_id BIGINT, product_id BIGINT, warehouse_id BIGINT, movement_type STRING, "
     "quantity DECIMAL(14,3), moved_at TIMESTAMP, employee_id BIGINT, cdc_op STRING, cdc_source_ts_ms BIGINT, "
     "version BIGINT, is_deleted INT"
 )
+REJECTED = "seq BIGINT, value STRING"
 KEY = ["inventory_movement_id"]
 ORDER = ["version", "seq"]
 
@@ -28,32 +26,25 @@ ORDER = ["version", "seq"]
 def load_changes(
     messages: DataFrame, path: str, checkpoint: str, ingest_ms: int | None = None, once: bool = True
 ) -> StreamingQuery:
-    """Start loading ``(seq, value)`` messages below ``path``; bad messages go to ``path/rejected``.
+    """Start loading ``(seq, value)`` messages below ``path``; bad messages are kept apart.
 
     ``once`` stops after everything available was read. The clock, when used
     as the version, is the batch's, so a repeated batch gets the same versions.
     """
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = parse_changes(batch, ingest_ms)
-        rows.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        bad = unreadable_changes(batch)
-        bad.write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
+    def load_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        write_batch(parse_changes(batch, ingest_ms), f"{path}/changes", batch_id)
+        write_batch(unreadable_changes(batch), f"{path}/rejected", batch_id)
+        batch.unpersist()
 
-    writer = messages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = messages.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
-    """The compacted base and the batches written after it."""
-    version, folded = newest(spark, f"{path}/base")
-    changes = read_if_there(spark, f"{path}/changes", f"{CHANGE_COLUMNS}, batch BIGINT")
-    if version == 0:
-        if changes is None:
-            return spark.createDataFrame([], CHANGE_COLUMNS)
-        return changes.drop("batch")
-    base = read_version(spark, f"{path}/base", version)
-    return base.unionByName(changes.where(F.col("batch") > folded).drop("batch"))
+    """All versions that still matter: the compacted base and the batches after it."""
+    return read_batches(spark, f"{path}/changes", CHANGES).drop("batch")
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
@@ -62,26 +53,10 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_if_there(spark, f"{path}/rejected", "seq BIGINT, value STRING, batch BIGINT")
-    return spark.createDataFrame([], "seq BIGINT, value STRING") if rows is None else rows.drop("batch")
+    return read_batches(spark, f"{path}/rejected", REJECTED).drop("batch")
 
 
 def compact(spark: SparkSession, path: str, upto_batch: int) -> int:
-    """Fold all batches up to ``upto_batch`` into a new base; returns its version.
-
-    Delete marks are kept, so a late older version of a deleted key still loses.
-    """
-    version, folded = newest(spark, f"{path}/base")
-    if folded is not None and upto_batch <= folded:
-        return version
-    changes = read_if_there(spark, f"{path}/changes", f"{CHANGE_COLUMNS}, batch BIGINT")
-    if changes is None:
-        return version
-    rows = changes.where(F.col("batch") <= upto_batch)
-    if version:
-        rows = rows.where(F.col("batch") > folded).drop("batch").unionByName(
-            read_version(spark, f"{path}/base", version)
-        )
-    else:
-        rows = rows.drop("batch")
-    return publish(latest_per_key(rows, KEY, ORDER), f"{path}/base", batch_id=upto_batch)
+    """Fold versions into one per key. Delete marks stay, so that a late older
+    version of a deleted key still loses."""
+    return compact_batches(spark, f"{path}/changes", CHANGES, KEY, ORDER, upto_batch)

@@ -1,8 +1,8 @@
 """Status commands as a stream over a fixed table of orders.
 
-A batch reads the orders and the states written by earlier batches only, and
-writes its own states, events and notes under its batch id. Repeating a batch
-therefore gives the same result and replaces the first attempt.
+A batch looks at the orders it names, with the states written by earlier
+batches only, and writes its own states, events and notes under its batch id.
+Repeating a batch therefore gives the same result and replaces the first attempt.
 """
 
 from __future__ import annotations
@@ -13,35 +13,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stocklens.functions.scalars import instant
 from stocklens.operators.latest import latest_per_key
-from stocklens.plans.orders import (
-    DEFAULT_SOURCE,
-    apply_status_changes,
-    last_commands,
-    log_status_events,
-)
+from stocklens.plans.orders import DEFAULT_SOURCE, apply_status_changes, last_commands, log_status_events
 from stocklens.schemas import TABLES
-from stocklens.sinks.versioned import read_if_there
+from stocklens.streaming.batches import compact_batches, read_batches, write_batch
 
-STATES = "customer_order_id BIGINT, status STRING, seq BIGINT, changed_at TIMESTAMP, batch BIGINT"
+STATES = "customer_order_id BIGINT, status STRING, seq BIGINT, changed_at TIMESTAMP"
+KEY = ["customer_order_id"]
 
 
 def written_states(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Newest state per order from the batches before ``before``."""
-    states = read_if_there(spark, f"{path}/states", STATES)
-    if states is None:
-        return spark.createDataFrame([], STATES)
-    if before is not None:
-        states = states.where(F.col("batch") < before)
-    return latest_per_key(states, ["customer_order_id"], ["batch"])
+    """State rows of the batches before ``before``, several per order."""
+    return read_batches(spark, f"{path}/states", STATES, before)
 
 
 def orders_after(orders: DataFrame, states: DataFrame) -> DataFrame:
-    """Orders with the written states in place of their own."""
-    new = states.select(
-        "customer_order_id", F.col("status").alias("_new"), F.col("changed_at").alias("_changed_at")
-    )
+    """Orders with the newest of the written states in place of their own."""
+    newest = latest_per_key(states, KEY, ["batch"])
+    new = newest.select(*KEY, F.col("status").alias("_new"), F.col("changed_at").alias("_changed_at"))
     return (
-        orders.join(new, "customer_order_id", "left")
+        orders.join(new, KEY, "left")
         .withColumn("status", F.coalesce("_new", "status"))
         .withColumn("last_status_changed_at", F.coalesce("_changed_at", "last_status_changed_at"))
         .select(*orders.columns)
@@ -53,6 +43,11 @@ def current_orders(orders: DataFrame, path: str) -> DataFrame:
     return orders_after(orders, written_states(orders.sparkSession, path))
 
 
+def compact_states(spark: SparkSession, path: str, upto_batch: int) -> int:
+    """Fold the written states into one per order."""
+    return compact_batches(spark, f"{path}/states", STATES, KEY, ["batch"], upto_batch)
+
+
 def run_status_stream(
     commands: DataFrame,
     orders: DataFrame,
@@ -69,24 +64,30 @@ def run_status_stream(
     count from 1 within a batch; ``(batch, id)`` is unique.
     """
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
+    def apply_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch.persist()
+        named = batch.select(*KEY).distinct()
+        known = orders.join(named, KEY, "left_semi")
         if log_only:
-            events = log_status_events(orders, batch, as_of)
-            events.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
-            return
-        now = orders_after(orders, written_states(spark, path, before=batch_id))
-        changes = apply_status_changes(now, batch, as_of, source)
-        changes.events.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
-        changes.notes.write.mode("overwrite").parquet(f"{path}/notes/batch={batch_id}")
-        known = last_commands(batch).join(orders.select("customer_order_id"), "customer_order_id", "left_semi")
-        states = known.select("customer_order_id", "status", "seq", instant(as_of).alias("changed_at"))
-        states.write.mode("overwrite").parquet(f"{path}/states/batch={batch_id}")
-
-    writer = commands.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+            write_batch(log_status_events(known, batch, as_of), f"{path}/events", batch_id)
+        else:
+            states = written_states(spark, path, before=batch_id).join(named, KEY, "left_semi")
+            changes = apply_status_changes(orders_after(known, states), batch, as_of, source)
+            write_batch(changes.events, f"{path}/events", batch_id)
+            write_batch(changes.notes, f"{path}/notes", batch_id)
+            last = last_commands(batch).join(known.select(*KEY), KEY, "left_semi")
+            changed = last.select(*KEY, "status", "seq", instant(as_of).alias("changed_at"))
+            write_batch(changed, f"{path}/states", batch_id)
+        batch.unpersist()
+
+    writer = commands.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_if_there(spark, f"{path}/events", f"{TABLES['order_status_events']}, batch BIGINT")
-    return spark.createDataFrame([], TABLES["order_status_events"]) if rows is None else rows
+    return read_batches(spark, f"{path}/events", TABLES["order_status_events"])
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, f"{path}/notes", TABLES["customer_order_audit_notes"])
