@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stocklens.operators.ranking import BROADCAST_ROWS
 from stocklens.plans.turnover import product_catalog
+from stocklens.session import fresh_dir
 
 HEADER = [
     "customer_order_id",
@@ -39,27 +41,51 @@ def audit_summary(notes: DataFrame) -> DataFrame:
     )
 
 
-def order_lines(tables: dict[str, DataFrame], order_ids: DataFrame | None = None) -> DataFrame:
-    """One row per order line with the order's header repeated.
+def chosen(df: DataFrame, order_ids: DataFrame | None) -> DataFrame:
+    if order_ids is None:
+        return df
+    return df.join(order_ids.select("customer_order_id"), "customer_order_id", "left_semi")
 
-    ``order_ids`` (column ``customer_order_id``) restricts the orders. Orders
-    without lines give no row; orders without notes count 0.
-    """
-    orders = tables["customer_orders"]
-    if order_ids is not None:
-        orders = orders.join(order_ids.select("customer_order_id"), "customer_order_id", "left_semi")
-    lines = tables["customer_order_items"].join(product_catalog(tables), "product_id")
+
+def order_headers(tables: dict[str, DataFrame], order_ids: DataFrame | None = None) -> DataFrame:
+    """One row per order with its customer and audit summary."""
     return (
-        orders.join(tables["customers"].select("customer_id", "full_name"), "customer_id")
+        chosen(tables["customer_orders"], order_ids)
+        .join(tables["customers"].select("customer_id", "full_name"), "customer_id")
         .join(audit_summary(tables["customer_order_audit_notes"]), "customer_order_id", "left")
-        .join(lines, "customer_order_id")
         .withColumn("audit_note_count", F.coalesce("audit_note_count", F.lit(0)))
         .withColumn("total_amount", F.coalesce("total_amount", F.lit(0).cast("decimal(14,2)")))
         .withColumn("items_count", F.coalesce("items_count", F.lit(0)))
-        .select(*HEADER, *ITEM)
+        .select(*HEADER)
     )
 
 
+def named_items(tables: dict[str, DataFrame], order_ids: DataFrame | None = None) -> DataFrame:
+    items = chosen(tables["customer_order_items"], order_ids)
+    return items.join(product_catalog(tables), "product_id").select("customer_order_id", *ITEM)
+
+
+def order_lines(tables: dict[str, DataFrame], order_ids: DataFrame | None = None) -> DataFrame:
+    """One row per order line with the order's header repeated.
+
+    ``order_ids`` (column ``customer_order_id``) restricts the orders. Orders
+    without lines give no row; orders without notes count 0.
+    """
+    return order_headers(tables, order_ids).join(named_items(tables, order_ids), "customer_order_id")
+
+
+def long_orders(items: DataFrame, lines_per_part: int) -> tuple[DataFrame, int]:
+    """Orders with more lines than fit one part, with their first line id, and how many there are."""
+    counts = items.groupBy("customer_order_id").agg(
+        F.count(F.lit(1)).alias("_lines"), F.min("customer_order_item_id").alias("_first")
+    )
+    path = fresh_dir(items.sparkSession, "long-orders")
+    found = counts.where(F.col("_lines") > lines_per_part).select("customer_order_id", "_first")
+    found.write.parquet(path)
+    written = items.sparkSession.read.schema(found.schema).parquet(path)
+    return written, written.count()
+
+
 def order_documents(
     tables: dict[str, DataFrame], order_ids: DataFrame | None = None, lines_per_part: int = 10_000
 ) -> DataFrame:
@@ -67,19 +93,28 @@ def order_documents(
 
     An order with more than ``lines_per_part`` lines comes in several parts,
     numbered along the line ids, each with the full header; no line is left
-    out and no task builds an unlimited array.
+    out and no task builds an unlimited array. Lines are gathered before they
+    meet the headers, so a header moves once per document, not per line.
     """
-    rows = order_lines(tables, order_ids)
-    counts = tables["customer_order_items"].groupBy("customer_order_id").agg(
-        F.count(F.lit(1)).alias("_lines"), F.min("customer_order_item_id").alias("_first")
-    )
+    items = named_items(tables, order_ids)
+    headers = order_headers(tables, order_ids)
+    gathered = F.array_sort(F.collect_list(F.struct(*ITEM))).alias("items")
+    long, found = long_orders(chosen(tables["customer_order_items"], order_ids), lines_per_part)
+    if found == 0:
+        documents = items.groupBy("customer_order_id").agg(gathered)
+        return headers.join(documents, "customer_order_id").select(*HEADER, F.lit(0).alias("part"), "items")
+    if found <= BROADCAST_ROWS:
+        long = F.broadcast(long)
     # Line ids are unique, so a range of lines_per_part ids holds at most that many lines.
     nth = F.col("customer_order_item_id") - F.col("_first")
-    part = F.when(F.col("_lines") > lines_per_part, F.floor(nth / lines_per_part)).otherwise(0)
-    item = F.struct(*ITEM)
-    return (
-        rows.join(counts, "customer_order_id")
-        .withColumn("part", part.cast("bigint"))
-        .groupBy(*HEADER, "part")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+    part = F.coalesce(F.floor(nth / lines_per_part), F.lit(0)).alias("part")
+    key = ["customer_order_id", "part"]
+    documents = items.join(long, "customer_order_id", "left").withColumn("part", part).groupBy(*key).agg(gathered)
+    parts = (
+        tables["customer_order_items"]
+        .join(long, "customer_order_id")
+        .select("customer_order_id", part.alias("_part"))
+        .distinct()
     )
+    numbered = headers.join(parts, "customer_order_id", "left").withColumn("part", F.coalesce("_part", F.lit(0)))
+    return numbered.join(documents, key).select(*HEADER, "part", "items")
