@@ -75,6 +75,16 @@ def assign_cyclic(df: DataFrame, n: str, pool: DataFrame, pool_id: str, name: st
     return placed.join(places, "_position").select(*df.columns, name)
 
 
+def assign_by_bounds(df: DataFrame, n: str, pool: DataFrame, pool_id: str, name: str) -> DataFrame:
+    """Give each row the id ``least id + (n - 1) mod pool size``, for a pool with gapless ids.
+
+    An empty pool gives no rows.
+    """
+    bounds = pool.agg(F.min(pool_id).alias("_least"), F.count(F.lit(1)).alias("_size")).where("_size > 0")
+    place = F.pmod(F.col(n) - 1, F.col("_size"))
+    return df.crossJoin(F.broadcast(bounds)).select(*df.columns, (F.col("_least") + place).alias(name))
+
+
 def previous_value(
     df: DataFrame,
     keys: list[str],

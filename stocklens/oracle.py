@@ -212,6 +212,17 @@ LEFT JOIN (SELECT customer_order_id, count(*) AS audit_note_count,
            FROM notes GROUP BY customer_order_id) a ON a.customer_order_id = co.customer_order_id""",
 )
 
+add(
+    "order_document_totals",
+    """SELECT co.customer_order_id AS order_id, c.full_name AS customer_name, count(*) AS line_count,
+  CAST(sum(i.sale_price) AS DOUBLE) AS price_sum
+FROM customer_orders co
+JOIN customers c ON c.customer_id = co.customer_id
+JOIN customer_order_items i ON i.customer_order_id = co.customer_order_id
+JOIN products p ON p.product_id = i.product_id
+GROUP BY co.customer_order_id, c.full_name""",
+)
+
 # --- change stream and dashboards -----------------------------------------
 
 CURRENT_COLUMNS = f"""inventory_movement_id, product_id, warehouse_id, movement_type,
@@ -315,6 +326,13 @@ JOIN (SELECT warehouse_id, row_number() OVER (ORDER BY warehouse_id) AS place FR
   ON w.place = o.customer_order_id % (SELECT count(*) FROM warehouses) + 1""",
 )
 
+add(
+    "bounded_customers",
+    """SELECT customer_order_id, customer_order_id + 1 AS n,
+  (SELECT min(customer_id) FROM customers) + customer_order_id % (SELECT count(*) FROM customers) AS customer_id
+FROM customer_orders""",
+)
+
 # --- order jobs -------------------------------------------------------------
 
 
@@ -413,6 +431,18 @@ add(
   {AS_OF_TEXT} AS created_at FROM numbered_steps""",
     STEPS,
 )
+add(
+    "status_change_results",
+    """SELECT customer_order_id, old_status, new_status, id AS order_status_event_id, id AS audit_note_id
+FROM numbered_steps""",
+    STEPS,
+)
+add(
+    "drawn_log_orders",
+    f"""SELECT c.seq, c.status, o.customer_order_id FROM raw_commands c
+JOIN (SELECT customer_order_id, row_number() OVER (ORDER BY customer_order_id) - 1 AS place FROM customer_orders) o
+  ON o.place = {draw(7, 'c.seq')} % (SELECT count(*) FROM customer_orders)""",
+)
 add(
     "logged_status_events",
     f"""SELECT row_number() OVER (ORDER BY c.seq) AS order_status_event_id, c.customer_order_id,

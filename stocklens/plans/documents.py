@@ -54,8 +54,6 @@ def order_headers(tables: dict[str, DataFrame], order_ids: DataFrame | None = No
         .join(tables["customers"].select("customer_id", "full_name"), "customer_id")
         .join(audit_summary(tables["customer_order_audit_notes"]), "customer_order_id", "left")
         .withColumn("audit_note_count", F.coalesce("audit_note_count", F.lit(0)))
-        .withColumn("total_amount", F.coalesce("total_amount", F.lit(0).cast("decimal(14,2)")))
-        .withColumn("items_count", F.coalesce("items_count", F.lit(0)))
         .select(*HEADER)
     )
 
@@ -118,3 +116,37 @@ def order_documents(
     )
     numbered = headers.join(parts, "customer_order_id", "left").withColumn("part", F.coalesce("_part", F.lit(0)))
     return numbered.join(documents, key).select(*HEADER, "part", "items")
+
+
+def order_responses(documents: DataFrame) -> DataFrame:
+    """Each document (part) as JSON text: ``{"order": …, "items": […]}``.
+
+    Decimals and times (UTC) are strings; a missing amount or count reads as 0.
+    """
+    order = F.struct(
+        F.col("customer_order_id").alias("order_id"),
+        "customer_id",
+        F.col("full_name").alias("customer_name"),
+        "delivery_address",
+        F.concat(F.col("created_at").cast("string"), F.lit("+00")).alias("created_at"),
+        "status",
+        "delivery_priority",
+        F.coalesce(F.col("total_amount").cast("string"), F.lit("0")).alias("total_amount"),
+        F.coalesce("items_count", F.lit(0)).alias("items_count"),
+        "audit_note_count",
+        "last_audit_note",
+    )
+    items = F.transform(
+        "items",
+        lambda i: F.struct(
+            i["customer_order_item_id"].alias("order_item_id"),
+            i["product_id"].alias("product_id"),
+            i["product_name"].alias("product_name"),
+            i["brand_name"].alias("brand_name"),
+            i["category_name"].alias("category_name"),
+            i["ordered_quantity"].cast("string").alias("ordered_quantity"),
+            i["sale_price"].cast("string").alias("sale_price"),
+        ),
+    )
+    body = F.to_json(F.struct(order.alias("order"), items.alias("items")), {"ignoreNullFields": "false"})
+    return documents.select("customer_order_id", "part", body.alias("body"))

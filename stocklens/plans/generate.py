@@ -309,6 +309,22 @@ def generate(spark: SparkSession, n: int, as_of: object) -> dict[str, DataFrame]
     return {name: build(spark, n, as_of) for name, build in TABLES.items()}
 
 
+def probe_movement(tables: dict[str, DataFrame], movement_id: int, as_of: object) -> DataFrame:
+    """One adjustment that refers to the first product, location and employee, for trying out the change stream."""
+    row = tables["products"].agg(F.min("product_id").alias("product_id"))
+    for table, key in [("warehouses", "warehouse_id"), ("employees", "employee_id")]:
+        row = row.crossJoin(F.broadcast(tables[table].agg(F.min(key).alias(key))))
+    return row.select(
+        F.lit(movement_id).cast("bigint").alias("inventory_movement_id"),
+        "product_id",
+        "warehouse_id",
+        F.lit("adjustment").alias("movement_type"),
+        F.lit("11.111").cast("decimal(14,3)").alias("quantity"),
+        instant(as_of).alias("moved_at"),
+        "employee_id",
+    )
+
+
 # Tables written by each seed step, with the key rows are merged on. Names and
 # mails identify the rows of the small tables, ids the others.
 SEED_STEPS: dict[int, dict[str, list[str]]] = {

@@ -40,6 +40,7 @@ class StatusChanges(NamedTuple):
     orders: DataFrame
     events: DataFrame
     notes: DataFrame
+    results: DataFrame
 
 
 def with_distinct_picks(df: DataFrame, seed: int, request: Column, size: int, name: str) -> DataFrame:
@@ -208,7 +209,7 @@ def apply_status_changes(
     source: str = DEFAULT_SOURCE,
     next_ids: tuple[int, int] = (1, 1),
 ) -> StatusChanges:
-    """Orders after all commands, plus one event and one note per command.
+    """Orders after all commands, plus one event, one note and one result row per command.
 
     ``next_ids`` are the first free event and note ids.
     """
@@ -230,7 +231,21 @@ def apply_status_changes(
         F.format_string(CHANGED_NOTE.format(source=source), "old_status", "new_status").alias("note_text"),
         now.alias("created_at"),
     )
-    return StatusChanges(with_last_status(orders, last_commands(commands), now), events, notes)
+    results = steps.select(
+        "customer_order_id",
+        "old_status",
+        "new_status",
+        (F.col("_n") + first_event).alias("order_status_event_id"),
+        (F.col("_n") + first_note).alias("audit_note_id"),
+    )
+    return StatusChanges(with_last_status(orders, last_commands(commands), now), events, notes, results)
+
+
+def drawn_orders(requests: DataFrame, orders: DataFrame, seed: int) -> DataFrame:
+    """Requests (``seq`` and further columns) with an order drawn for each; none if there are no orders."""
+    places, count = numbered(orders.select("customer_order_id"), "_place", ["customer_order_id"], start=0)
+    place = F.pmod(draw(seed, F.col("seq")), F.lit(max(count, 1)))
+    return requests.withColumn("_place", place).join(places, "_place").drop("_place")
 
 
 def log_status_events(

@@ -17,10 +17,10 @@ from stocklens.functions.changes import flatten_envelope, parse_changes, to_mess
 from stocklens.operators import quality
 from stocklens.operators.latest import current_rows, latest_per_key
 from stocklens.operators.merge import backfill_totals, delete_keys, insert_missing, upsert
-from stocklens.operators.ordered import assign_cyclic, assign_ids
+from stocklens.operators.ordered import assign_by_bounds, assign_cyclic, assign_ids
 from stocklens.operators.ranking import sample_rows, top_by
 from stocklens.plans import dashboards, generate, latency, metrics, orders, revenue
-from stocklens.plans.documents import order_documents
+from stocklens.plans.documents import order_documents, order_responses
 from stocklens.plans.turnover import turnover
 from stocklens.schemas import ORDER_STATUSES
 from stocklens.session import configure, fresh_dir
@@ -120,7 +120,25 @@ def revenue_by_day_stored(spark, folder):
 @register
 def order_document_lines(spark, folder):
     documents = order_documents(shop_tables(spark, folder))
-    return documents.drop("part").select("*", F.inline("items")).drop("items")
+    lines = documents.drop("part").select("*", F.inline("items")).drop("items")
+    return lines.withColumn("items_count", F.coalesce("items_count", F.lit(0)))
+
+
+@register
+def order_document_totals(spark, folder):
+    """Size and amount of each order's JSON document."""
+    documents = order_responses(order_documents(shop_tables(spark, folder)))
+    body = F.from_json("body", "order STRUCT<order_id: BIGINT, customer_name: STRING>, items ARRAY<STRUCT<sale_price: STRING>>")
+    parsed = documents.select(body.alias("b"))
+    total = F.aggregate(
+        "b.items", F.lit(0).cast("decimal(24,2)"), lambda t, i: (t + i["sale_price"].cast("decimal(14,2)")).cast("decimal(24,2)")
+    )
+    return parsed.select(
+        F.col("b.order.order_id").alias("order_id"),
+        F.col("b.order.customer_name").alias("customer_name"),
+        F.size("b.items").alias("line_count"),
+        total.alias("price_sum"),
+    )
 
 
 # --- change stream and dashboards -----------------------------------------
@@ -279,6 +297,13 @@ def cyclic_locations(spark, folder):
     return assign_cyclic(numbered, "n", tables["warehouses"], "warehouse_id", "warehouse_id")
 
 
+@register
+def bounded_customers(spark, folder):
+    tables = shop_tables(spark, folder)
+    numbered = tables["customer_orders"].select("customer_order_id", (F.col("customer_order_id") + 1).alias("n"))
+    return assign_by_bounds(numbered, "n", tables["customers"], "customer_id", "customer_id")
+
+
 # --- order jobs -------------------------------------------------------------
 
 
@@ -335,6 +360,18 @@ def status_changes_notes(spark, folder):
     return changed(spark, folder).notes
 
 
+@register
+def status_change_results(spark, folder):
+    return changed(spark, folder).results
+
+
+@register
+def drawn_log_orders(spark, folder):
+    tables = shop_tables(spark, folder)
+    requests = tables["status_commands"].select("seq", "status")
+    return orders.drawn_orders(requests, tables["customer_orders"], SEED)
+
+
 @register
 def logged_status_events(spark, folder):
     tables = shop_tables(spark, folder)

@@ -143,3 +143,10 @@ def test_merging_seed_rows_keeps_ids(spark, tmp_path, rows):
     generate.merge_table(spark, generate.locations(spark, 1, AS_OF), path, "warehouses", ["warehouse_name"])
     found = rows(read_version(spark, path), "warehouse_id", "warehouse_name", "city")
     assert found[-2:] == [(77, "Warehouse 1", "City 1"), (78, "Other", "X")] and len(found) == 4
+
+
+def test_probe_movement(spark):
+    made = generate.generate(spark, 1, AS_OF)
+    row = generate.probe_movement(made, 990_001, AS_OF).first()
+    assert (row.inventory_movement_id, row.product_id, row.warehouse_id, row.employee_id) == (990_001, 1, 1, 1)
+    assert (row.movement_type, str(row.quantity)) == ("adjustment", "11.111")

@@ -3,7 +3,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stocklens.operators.ordered import assign_cyclic, assign_ids, exact_quantiles, next_id, previous_value
+from stocklens.operators.ordered import (
+    assign_by_bounds,
+    assign_cyclic,
+    assign_ids,
+    exact_quantiles,
+    next_id,
+    previous_value,
+)
 
 
 def test_ids_are_dense_and_follow_the_order(spark):
@@ -72,3 +79,10 @@ def test_quantiles(spark, width):
 def test_quantiles_without_groups(spark):
     df = spark.range(1, 102).select(F.col("id").cast("double").alias("v"))
     assert exact_quantiles(df, [], "v", {"med": 0.5, "p95": 0.95}).first() == (51.0, 96.0)
+
+
+def test_bounds(spark, rows):
+    pool = spark.range(40, 43).toDF("id")
+    df = spark.range(1, 6).toDF("n")
+    assert [p for _, p in rows(assign_by_bounds(df, "n", pool, "id", "p"))] == [40, 41, 42, 40, 41]
+    assert assign_by_bounds(df, "n", pool.where("false"), "id", "p").count() == 0

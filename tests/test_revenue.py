@@ -1,10 +1,11 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from stocklens.plans import revenue
-from stocklens.plans.documents import order_documents, order_lines
+from stocklens.plans.documents import order_documents, order_lines, order_responses
 from stocklens.sinks.versioned import newest
 
 
@@ -123,8 +124,8 @@ def test_order_lines(shop):
     lines = order_lines(shop).orderBy("customer_order_item_id").collect()
     assert [r.customer_order_item_id for r in lines] == [11, 12, 13, 21, 31]  # order 4 has no line
     assert (lines[0].audit_note_count, lines[0].last_audit_note) == (3, "third")
-    assert (lines[3].audit_note_count, lines[3].last_audit_note, lines[3].items_count) == (0, None, 0)
-    assert float(lines[0].total_amount) == 0.0
+    assert (lines[3].audit_note_count, lines[3].last_audit_note, lines[3].items_count) == (0, None, None)
+    assert lines[0].total_amount is None
     assert (lines[4].full_name, lines[4].brand_name, lines[4].category_name) == ("Bob", "Red", "Home")
 
 
@@ -139,3 +140,39 @@ def test_long_orders_come_in_parts_without_loss(shop):
     documents = order_documents(shop, lines_per_part=2).where("customer_order_id = 1").orderBy("part").collect()
     assert [d.part for d in documents] == [0, 1]
     assert [[i.customer_order_item_id for i in d["items"]] for d in documents] == [[11, 12], [13]]
+
+
+def test_response_text(spark, shop):
+    wanted = spark.createDataFrame([(3,)], "customer_order_id BIGINT")
+    body = json.loads(order_responses(order_documents(shop, wanted)).first().body)
+    assert body == {
+        "order": {
+            "order_id": 3,
+            "customer_id": 11,
+            "customer_name": "Bob",
+            "delivery_address": "c",
+            "created_at": "2021-03-02 00:00:00+00",
+            "status": "new",
+            "delivery_priority": None,
+            "total_amount": "2.00",
+            "items_count": 1,
+            "audit_note_count": 1,
+            "last_audit_note": "only",
+        },
+        "items": [
+            {
+                "order_item_id": 31,
+                "product_id": 3,
+                "product_name": "cup",
+                "brand_name": "Red",
+                "category_name": "Home",
+                "ordered_quantity": "1.000",
+                "sale_price": "4.00",
+            }
+        ],
+    }
+
+
+def test_a_missing_amount_reads_as_zero(shop):
+    bodies = [json.loads(r.body)["order"] for r in order_responses(order_documents(shop)).collect()]
+    assert {b["order_id"]: b["total_amount"] for b in bodies}[1] == "0"
