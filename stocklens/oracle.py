@@ -118,65 +118,42 @@ def add(name: str, body: str, extra: str = "") -> None:
 # --- analytic reports ------------------------------------------------------
 
 
-def turnover(restriction: str, extra: str) -> tuple[str, str]:
-    extra = f"""{extra}
-totals AS (
-  SELECT w.warehouse_id, w.warehouse_name, p.product_id, p.product_name,
-         sum(CASE WHEN im.movement_type = 'receipt' THEN im.quantity ELSE 0 END) AS received_quantity,
-         sum(CASE WHEN im.movement_type = 'shipment' THEN im.quantity ELSE 0 END) AS shipped_quantity,
-         sum(CASE WHEN im.movement_type IN ('write_off','adjustment') THEN im.quantity ELSE 0 END) AS adjusted_quantity
-  FROM inventory_movements im
-  {restriction}
-  JOIN warehouses w ON w.warehouse_id = im.warehouse_id
-  JOIN products p ON p.product_id = im.product_id
-  WHERE im.moved_at >= {START} AND im.moved_at < {END}
-  GROUP BY w.warehouse_id, w.warehouse_name, p.product_id, p.product_name
-),
-ranked AS (
-  SELECT *, received_quantity + shipped_quantity + adjusted_quantity AS total_quantity,
-         dense_rank() OVER (PARTITION BY warehouse_id
-           ORDER BY received_quantity + shipped_quantity + adjusted_quantity DESC) AS product_rank
-  FROM totals
-  WHERE received_quantity + shipped_quantity + adjusted_quantity >= 1
-)"""
-    body = """SELECT warehouse_id, warehouse_name, product_id, product_name,
-  CAST(received_quantity AS DOUBLE) AS received_quantity, CAST(shipped_quantity AS DOUBLE) AS shipped_quantity,
-  CAST(adjusted_quantity AS DOUBLE) AS adjusted_quantity, CAST(total_quantity AS DOUBLE) AS total_quantity,
-  CAST(product_rank AS BIGINT) AS product_rank
-FROM ranked WHERE product_rank <= 10
-ORDER BY warehouse_name, product_rank, product_name, product_id"""
-    return body, extra
-
-
-add("turnover_all_locations", *turnover("", ""))
+def turnover(restriction: str = "") -> str:
+    return f"""SELECT warehouse_id, warehouse_name, product_id, product_name,
+  CAST(received AS DOUBLE) AS received_quantity, CAST(shipped AS DOUBLE) AS shipped_quantity,
+  CAST(total - received - shipped AS DOUBLE) AS adjusted_quantity, CAST(total AS DOUBLE) AS total_quantity,
+  CAST(dense_rank() OVER (PARTITION BY warehouse_id ORDER BY total DESC) AS BIGINT) AS product_rank
+FROM (
+  SELECT warehouse_id, product_id, sum(quantity) AS total,
+    coalesce(sum(quantity) FILTER (WHERE movement_type = 'receipt'), 0) AS received,
+    coalesce(sum(quantity) FILTER (WHERE movement_type = 'shipment'), 0) AS shipped
+  FROM inventory_movements WHERE moved_at >= {START} AND moved_at < {END} {restriction} GROUP BY ALL)
+JOIN warehouses USING (warehouse_id) JOIN products USING (product_id)
+WHERE total >= 1
+QUALIFY product_rank <= 10"""
+
+
+add("turnover_all_locations", turnover())
 add(
     "turnover_top_locations",
-    *turnover(
-        "JOIN top_warehouses tw ON tw.warehouse_id = im.warehouse_id",
-        f"""
-top_warehouses AS (
-  SELECT warehouse_id, sum(quantity) AS total FROM inventory_movements
-  WHERE moved_at >= {START} AND moved_at < {END}
-  GROUP BY warehouse_id ORDER BY total DESC, warehouse_id LIMIT 100
-),""",
+    turnover(
+        f"""AND warehouse_id IN (
+    SELECT warehouse_id FROM inventory_movements WHERE moved_at >= {START} AND moved_at < {END}
+    GROUP BY warehouse_id ORDER BY sum(quantity) DESC, warehouse_id LIMIT 100)"""
     ),
 )
 
 REVENUE = """
-audit_counts AS (SELECT customer_order_id, count(*) AS n FROM notes GROUP BY customer_order_id),
-per_order AS (
-  SELECT co.customer_order_id, CAST(date_trunc('day', co.created_at) AS DATE) AS sales_day, p.category_name,
-         sum(coi.ordered_quantity * coi.sale_price) AS revenue
-  FROM customer_orders co
-  JOIN customer_order_items coi ON coi.customer_order_id = co.customer_order_id
-  JOIN products p ON p.product_id = coi.product_id
-  GROUP BY ALL
+amounts AS (
+  SELECT customer_order_id, category_name, sum(ordered_quantity * sale_price) AS amount
+  FROM customer_order_items JOIN products USING (product_id) GROUP BY ALL
 ),
 daily AS (
-  SELECT sales_day, category_name, count(DISTINCT o.customer_order_id) AS order_count, sum(revenue) AS revenue,
-         CAST(sum(coalesce(a.n, 0)) AS BIGINT) AS audit_note_count
-  FROM per_order o LEFT JOIN audit_counts a ON a.customer_order_id = o.customer_order_id
-  GROUP BY sales_day, category_name
+  SELECT CAST(created_at AS DATE) AS sales_day, category_name, count(DISTINCT customer_order_id) AS order_count,
+         sum(amount) AS revenue, CAST(coalesce(sum(n), 0) AS BIGINT) AS audit_note_count
+  FROM amounts JOIN customer_orders USING (customer_order_id)
+  LEFT JOIN (SELECT customer_order_id, count(*) AS n FROM notes GROUP BY ALL) USING (customer_order_id)
+  GROUP BY ALL
 )"""
 
 
@@ -197,21 +174,18 @@ add(
 )
 add(
     "order_document_lines",
-    f"""SELECT co.customer_order_id, co.customer_id, c.full_name, co.delivery_address,
-  {stamp('co.created_at')} AS created_at, co.status, co.delivery_priority,
-  CAST(co.total_amount AS DOUBLE) AS total_amount, CAST(0 AS BIGINT) AS items_count,
-  coalesce(a.audit_note_count, 0) AS audit_note_count, a.last_audit_note, i.customer_order_item_id,
-  i.product_id, p.product_name, p.brand_name, p.category_name,
-  CAST(i.ordered_quantity AS DOUBLE) AS ordered_quantity, CAST(i.sale_price AS DOUBLE) AS sale_price
-FROM customer_orders co
-JOIN customers c ON c.customer_id = co.customer_id
-JOIN customer_order_items i ON i.customer_order_id = co.customer_order_id
-JOIN products p ON p.product_id = i.product_id
-LEFT JOIN (SELECT customer_order_id, count(*) AS audit_note_count,
-                  (array_agg(note_text ORDER BY created_at DESC, audit_note_id DESC))[1] AS last_audit_note
-           FROM notes GROUP BY customer_order_id) a ON a.customer_order_id = co.customer_order_id""",
+    f"""SELECT customer_order_id, customer_id, full_name, delivery_address, {stamp('o.created_at')} AS created_at,
+  status, delivery_priority, CAST(total_amount AS DOUBLE) AS total_amount, CAST(0 AS BIGINT) AS items_count,
+  coalesce(noted, 0) AS audit_note_count, note_text AS last_audit_note, customer_order_item_id, product_id,
+  product_name, brand_name, category_name, CAST(ordered_quantity AS DOUBLE) AS ordered_quantity,
+  CAST(sale_price AS DOUBLE) AS sale_price
+FROM customer_orders o JOIN customers USING (customer_id)
+JOIN customer_order_items USING (customer_order_id) JOIN products USING (product_id)
+LEFT JOIN (
+  SELECT customer_order_id, note_text, count(*) OVER (PARTITION BY customer_order_id) AS noted FROM notes
+  QUALIFY row_number() OVER (PARTITION BY customer_order_id ORDER BY created_at DESC, audit_note_id DESC) = 1
+) USING (customer_order_id)""",
 )
-
 add(
     "order_document_totals",
     """SELECT co.customer_order_id AS order_id, c.full_name AS customer_name, count(*) AS line_count,

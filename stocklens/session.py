@@ -62,5 +62,8 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """An unused path below the shared folder, in this application's part of it.
+
+    Nothing in there is needed once the application has ended.
+    """
+    return f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
