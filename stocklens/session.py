@@ -9,13 +9,15 @@ from pyspark.sql import SparkSession
 
 # Day buckets and ISO texts are defined in UTC. AQE sizes the shuffles, splits
 # skewed join partitions even where that costs one more shuffle, and turns
-# joins into broadcasts only on sizes it has measured.
+# joins into broadcasts only on sizes it has measured. A selective side filters
+# the other one before the shuffle (Bloom filter).
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.functions.changes import to_messages, typed_changes
+from stocklens.functions.changes import to_messages
 from stocklens.sources.changes import stream_parquet
 
 # Six order states for five event types: 'signup' covers two, by event id.
@@ -213,31 +213,51 @@ def samples(events: DataFrame) -> DataFrame:
     )
 
 
-def movement_changes(events: DataFrame) -> DataFrame:
-    """Flat change rows: each user has four movement ids that are written again and again."""
+def movement_versions(events: DataFrame) -> DataFrame:
+    """Stock movement versions: each user has four movement ids that are written again and again."""
     kind = mapped(
         "event_type", {"view": "receipt", "purchase": "shipment", "click": "write_off"}, F.lit("adjustment")
     )
-    deleted = F.col("event_type") == "error"
     return events.select(
         F.col("event_id").alias("seq"),
         F.expr("user_id * 4 + event_id % 4 + 1").alias("inventory_movement_id"),
         F.expr("event_id div 2").alias("product_id"),
         F.col("user_id").alias("warehouse_id"),
         kind.alias("movement_type"),
-        F.col("value").cast("decimal(14,3)").cast("string").alias("quantity"),
-        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("moved_at"),
+        F.col("value").cast("decimal(14,3)").alias("quantity"),
+        F.col("ts").cast("timestamp").alias("moved_at"),
         (F.col("user_id") + 1).alias("employee_id"),
-        F.when(F.col("event_type") == "signup", "c").when(deleted, "d").otherwise("u").alias("__op"),
-        F.lit("inventory_movements").alias("__table"),
-        F.col("event_id").alias("__source_ts_ms"),
-        F.when(deleted, "true").otherwise("false").alias("__deleted"),
+        F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u").alias(
+            "cdc_op"
+        ),
     )
 
 
 def change_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The change rows as a typed table, as the loading job leaves them."""
-    return typed_changes(movement_changes(base(spark, folder, "events")), ingest_ms=0)
+    """The versions as a typed table, as the loading job leaves them."""
+    return movement_versions(base(spark, folder, "events")).select(
+        "*",
+        F.col("seq").alias("cdc_source_ts_ms"),
+        F.col("seq").alias("version"),
+        (F.col("cdc_op") == "d").cast("int").alias("is_deleted"),
+    ).withColumn("moved_at", F.date_trunc("millisecond", "moved_at"))
+
+
+def movement_changes(events: DataFrame) -> DataFrame:
+    """The versions as flat change messages carry them: amounts and times as text."""
+    return (
+        movement_versions(events)
+        .withColumn("quantity", F.col("quantity").cast("string"))
+        .withColumn("moved_at", F.date_format("moved_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        .withColumnRenamed("cdc_op", "__op")
+        .withColumns(
+            {
+                "__table": F.lit("inventory_movements"),
+                "__source_ts_ms": F.col("seq"),
+                "__deleted": F.when(F.col("__op") == "d", "true").otherwise("false"),
+            }
+        )
+    )
 
 
 def change_messages(spark: SparkSession, folder: str) -> DataFrame:

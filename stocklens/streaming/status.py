@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stocklens.functions.scalars import instant
 from stocklens.operators.latest import latest_per_key
+from stocklens.operators.ranking import BROADCAST_ROWS
 from stocklens.plans.orders import DEFAULT_SOURCE, apply_status_changes, last_commands, log_status_events
 from stocklens.schemas import TABLES
 from stocklens.streaming.batches import compact_batches, read_batches, write_batch
@@ -68,6 +69,10 @@ def run_status_stream(
         spark = batch.sparkSession
         batch.persist()
         named = batch.select(*KEY).distinct()
+        # A batch has no size estimate; counted small, its keys are brought to
+        # the orders, which then need no shuffle.
+        if batch.count() <= BROADCAST_ROWS:
+            named = F.broadcast(named)
         known = orders.join(named, KEY, "left_semi")
         if log_only:
             write_batch(log_status_events(known, batch, as_of), f"{path}/events", batch_id)

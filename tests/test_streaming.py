@@ -107,6 +107,7 @@ def run(spark, path, batches, log_only=False):
     for number, batch in enumerate(batches):
         with open(f"{path}/in/{number}.json", "w") as out:
             out.writelines(json.dumps(dict(zip(schema.names, c))) + "\n" for c in batch)
+        os.utime(f"{path}/in/{number}.json", (1_700_000_000 + number, 1_700_000_000 + number))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
     status.run_status_stream(source, stored(spark), path, f"{path}/c", AS_OF, log_only=log_only).awaitTermination()
 
