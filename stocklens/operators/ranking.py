@@ -19,8 +19,10 @@ def top_keys(df: DataFrame, key: str, measure: str, n: int) -> DataFrame:
     return top_by(totals, [F.desc("total_quantity"), F.asc(key)], n)
 
 
-# A rank table of at most this many rows is sent to every task.
+# Tables counted or known to have at most this many rows may be sent to every
+# task; rank rows (a key, a number and a rank) are narrow, so more of them may.
 BROADCAST_ROWS = 100_000
+BROADCAST_RANKS = 200_000
 
 
 def dense_top_per_group(
@@ -42,7 +44,7 @@ def dense_top_per_group(
         .withColumn(rank, F.dense_rank().over(places))
         .where(F.col(rank) <= n)
     )
-    if max_groups is not None and max_groups * n <= BROADCAST_ROWS:
+    if max_groups is not None and max_groups * n <= BROADCAST_RANKS:
         ranks = F.broadcast(ranks)
     return df.join(ranks, [group, measure])
 

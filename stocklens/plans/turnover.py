@@ -75,8 +75,10 @@ def turnover(
         )
         .where(F.col("total_quantity") >= F.lit(min_quantity))
     )
+    # Every ranked row belongs to a known location, so their number limits the groups.
+    groups = top_locations if top_locations is not None else locations.count()
     ranked = dense_top_per_group(
-        totals, "warehouse_id", "total_quantity", top_products, "product_rank", max_groups=top_locations
+        totals, "warehouse_id", "total_quantity", top_products, "product_rank", max_groups=groups
     )
     return (
         ranked.join(locations, "warehouse_id")
