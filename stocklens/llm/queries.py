@@ -4,9 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stocklens.llm import minhash
+from stocklens.llm import (
+    chat,
+    credentials,
+    decontaminate,
+    fuzzy_lines,
+    language,
+    minhash,
+    packing,
+    pitman_yor,
+    quality_rules,
+    toxicity,
+)
 from stocklens.llm.shared import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +34,99 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of the doc_id as text, by which rows are held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+@register
+def op1_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@register
+def op2_chat_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.read_back(chat.formatted(turns.union(probe)))
+
+
+# Lengths of role and text in the template: an escaped backslash and a parted control string are longer.
+ESCAPED = (
+    r"regexp_replace(replace({0}, '\', '\b'), "
+    r"'(<)(\||/?s>|<?/?SYS>>|unk>|pad>|bos>|eos>|start_of_turn>|end_of_turn>)|(\[)(/?INST\])', '\1\3\\e\2\4', 'g')"
+)
+ORACLE["op2_chat_tokens"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+), sums AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS all_text,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss_text,
+    length('<|begin|>') + sum(length('<|role|><|text|><|end|>') + length({ESCAPED.format("role")})
+      + length({ESCAPED.format("text")})) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss_text) AS loss_chars,
+  sha256(loss_text) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM sums"""
+
+
+@register
+def op3_pitman_yor_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(7) != 2).alias("learned"))
+    scored = pitman_yor.score(docs)
+    rest = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored.select("doc_id", (remainder(7) == 2).alias("held_out"), *rest)
+
+
+@register
+def op4_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = fuzzy_lines.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        "n_removed",
+        F.length("cleaned").cast("bigint").alias("kept_chars"),
+        sha256(F.col("cleaned")).alias("kept_sha256"),
+    )
+
+
+@register
+def op5_credential_formats(spark: SparkSession, folder: str) -> DataFrame:
+    found = credentials.secrets(table(spark, folder, "documents"))
+    kinds = credentials.KINDS
+
+    def text(spans: Column) -> Column:
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != kinds[3])
+    counts = [number(kind) for kind in kinds]
+    return found.select(
+        "doc_id", *counts[:3], sha256(text(base)).alias("base_sha256"), text(F.col("spans")).alias("spans"), counts[3]
+    )
+
+
+@register
+def op6_toxic_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").where(remainder(3) != 1)
+    found = toxicity.detect(table(spark, folder, "documents"), labels)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 WORDS = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(
@@ -58,3 +163,93 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.b AS component_id, r.b = d.do
 FROM documents d JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = d.doc_id
 LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
 )
+
+
+@register
+def op8_language_subwords(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs.select("doc_id", "text"), docs.where(remainder(5) != 0))
+    doc_id = F.col("row.doc_id").alias("doc_id")
+    return found.select(doc_id, "lang_pred", "score", "rejected").select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+@register
+def op9_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = F.aggregate(
+        F.transform("spans", lambda place, i: F.when(i % 2 == 0, -place).otherwise(place)),
+        F.lit(0).cast("bigint"),
+        lambda sofar, x: sofar + x,
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        sha256(F.array_join("items", ",")).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op9_benchmark_passages"] = """
+WITH found AS (
+  SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents
+  UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), NULL, text FROM benchmark
+), words AS (
+  SELECT kind, id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM found
+), phrases AS (
+  SELECT DISTINCT id, least(len(ws), 10) AS n, array_to_string(ws[i : i + 9], ' ') AS phrase
+  FROM (SELECT id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM words WHERE kind = 'b' AND len(ws) > 0)
+), places AS (
+  SELECT w.doc_id, l.n, i, array_to_string(w.ws[i : i + l.n - 1], ' ') AS phrase
+  FROM words w, (SELECT DISTINCT n FROM phrases) l, unnest(generate_series(1, len(w.ws) - l.n + 1)) AS u(i)
+  WHERE w.kind = 'd' AND len(w.ws) >= l.n
+), met AS (
+  SELECT p.doc_id, p.i, p.n, f.id FROM places p JOIN phrases f ON f.n = p.n AND f.phrase = p.phrase
+), hit AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM met, unnest(generate_series(0, n - 1)) AS u(j) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, id FROM met) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hit h ON h.doc_id = w.doc_id LEFT JOIN items t ON t.doc_id = w.doc_id WHERE w.kind = 'd'"""
+
+
+@register
+def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality(table(spark, folder, "documents"))
+
+
+ORACLE["op10_quality_cascade"] = """
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents
+), runs AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS run
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM words WHERE len(ws) >= 8)
+), again AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS times FROM runs), unnest(generate_series(0, 7)) AS u(j)
+  WHERE times > 1 GROUP BY doc_id
+), counts AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^!]', '', 'g')) AS shouts
+  FROM words w LEFT JOIN again ON again.doc_id = w.doc_id
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 30 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
+    OR word_chars < 2 * n_words OR word_chars > 40 * n_words
+    OR 100 * capitals > 50 * word_chars OR 100 * shouts > 50 * n_words) AS kept
+FROM judged"""
