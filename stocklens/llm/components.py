@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from stocklens.llm.shared import discard, written
 
+# Keys that several nodes share go to all executors up to this number (16 bytes each), else they are joined.
+BROADCAST_KEYS = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every greater neighbour of a node is linked to the least node of its neighbourhood."""
@@ -50,11 +53,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows of keys that several nodes have, with ``weight``: the sum of the sizes of all keys of the node."""
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(keys.join(sizes, "key"), "shared")
+    """The rows of keys that several nodes have, stored, with ``weight``: the sum of the sizes of all keys of the node."""
+    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    few = sizes.count() <= BROADCAST_KEYS
+    shared = written(keys.join(F.broadcast(sizes) if few else sizes, "key"), "shared")
     weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    return shared.join(weights, "node").select("key", "node", "weight")
+    members = written(shared.join(weights, "node").select("key", "node", "weight"), "members")
+    discard(sizes, shared)
+    return members
 
 
 def apart(rows: DataFrame) -> DataFrame:
@@ -93,7 +99,7 @@ def linked_by_keys(
 ) -> DataFrame:
     """Components of the nodes, where nodes that share a key are linked if ``accept`` keeps their pair.
 
-    ``members`` is a stored result of :func:`shared_keys`; ``accept`` filters a
+    ``members`` is a result of :func:`shared_keys`; ``accept`` filters a
     table of pairs ``a < b``. The result equals the components over all
     accepted pairs, but pairs whose ends are known to belong together are not
     looked at. First the node of a key that has most company in all its keys,

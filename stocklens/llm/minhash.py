@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.llm.arrays import hash_spans, lists, mix, shingle_sets, utf8, word_spans
@@ -106,14 +106,24 @@ def rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     that part of either set, so they share one of the first shingles beyond it
     in any common order. Counted here among the nodes still apart, the rare
     ones come first: a copy with many changes of its own then meets nothing.
+    ``at`` is the shingle's place in the order.
     """
     rows = nodes.join(sets, "node").select("node", "component", "n_shingles", F.explode("shingles").alias("key"))
     held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
     ordered = rows.join(held, "key").groupBy("node", "component", "n_shingles")
     ordered = ordered.agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("all"))
     number = (F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1).cast("int")
-    first = ordered.select("node", "component", F.explode(F.slice("all", F.lit(1), number)).alias("one"))
-    return first.where("one.held > 1").select("one.key", "node", "component")
+    first = ordered.select("node", "component", "n_shingles", F.posexplode(F.slice("all", F.lit(1), number)))
+    return first.where("col.held > 1").select("col.key", "node", "component", "n_shingles", F.col("pos").alias("at"))
+
+
+def enough_left(percent: int) -> Column:
+    """Whether two sets can be linked if the shingle at hand is the first that they share.
+
+    They then share no more than what either has from that place on.
+    """
+    left = F.least(F.col("n_shingles_a") - F.col("at_a"), F.col("n_shingles_b") - F.col("at_b"))
+    return left * (100 + percent) >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -157,7 +167,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     bands = F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, slice(minima, i * {ROWS_PER_BAND} + 1, {ROWS_PER_BAND})))"
     )
-    members = written(shared_keys(nodes.select(F.explode(bands).alias("key"), "node")), "members")
+    members = shared_keys(nodes.select(F.explode(bands).alias("key"), "node"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     wanted = wanted.select("node", "fingerprint", "first_id", "n_shingles")
     chosen = docs.join(wanted.select("first_id").distinct(), docs.doc_id.eqNullSafe(F.col("first_id")), "left_semi")
@@ -179,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     def rest(rows: DataFrame) -> DataFrame:
         undecided = apart(rows).select("node", "component").distinct()
         rare.append(written(rare_shingles(undecided, sets, percent), "rare"))
-        return pairs_apart(rare[0])
+        return pairs_apart(rare[0], enough_left(percent))
 
     groups = linked_by_keys(members, accept, rest)
     discard(members, sets, *rare)
