@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocklens.llm.shared import discard, written
+from stocklens.llm.shared import discard, narrow, written
 
 # Keys that several nodes share go to all executors up to this number (16 bytes each), else they are joined.
-BROADCAST_KEYS = 200_000
+BROADCAST_KEYS = 1_000_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -55,8 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
 def shared_keys(keys: DataFrame) -> DataFrame:
     """The rows of keys that several nodes have, stored, with ``weight``: the sum of the sizes of all keys of the node."""
     sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    few = sizes.count() <= BROADCAST_KEYS
-    shared = written(keys.join(F.broadcast(sizes) if few else sizes, "key"), "shared")
+    shared = written(keys.join(narrow(sizes, BROADCAST_KEYS), "key"), "shared")
     weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     members = written(shared.join(weights, "node").select("key", "node", "weight"), "members")
     discard(sizes, shared)
@@ -73,15 +72,18 @@ def apart(rows: DataFrame) -> DataFrame:
     return rows.join(mains, "key")
 
 
-def pairs_apart(rows: DataFrame, condition: Column | None = None) -> DataFrame:
+def pairs_apart(rows: DataFrame, condition: Column | None = None, light: DataFrame | None = None) -> DataFrame:
     """Distinct pairs ``a < b`` of nodes of one ``key`` and different components.
 
     Only nodes outside a key's main component meet all others, so a key costs
     the number of its outsiders times its nodes, not the square. ``condition``
-    is checked inside the join; it finds the remaining columns of the rows with
-    ``_a`` and ``_b`` appended and has to be symmetric.
+    is checked inside the join; it finds the remaining columns of the rows, and
+    those of ``light`` for each ``node``, with ``_a`` and ``_b`` appended and
+    has to be symmetric.
     """
     rows = apart(rows)
+    if light is not None:
+        rows = narrow(written(rows, "apart")).join(light, "node")
     sides = {
         end: rows.select("key", *[F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "key"]) for end in "ab"
     }

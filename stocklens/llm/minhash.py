@@ -91,9 +91,14 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, SET)
 
 
-def both_ends(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """The pairs with each end's columns, as ``<column>_a`` and ``<column>_b``."""
+def both_ends(pairs: DataFrame, nodes: DataFrame, columns: list[str], number: int | None = None) -> DataFrame:
+    """The pairs with each end's columns, as ``<column>_a`` and ``<column>_b``.
+
+    If their ``number`` is known and small, the pairs go to the nodes.
+    """
     for end in ("a", "b"):
+        if number is not None and number <= 200_000:
+            pairs = F.broadcast(pairs)
         own = [F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]]
         pairs = pairs.join(nodes.select(*own), end)
     return pairs

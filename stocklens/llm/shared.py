@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stocklens.session import configure, fresh_dir
 
@@ -33,6 +34,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return again
 
 
+def narrow(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A stored table, marked to be sent to all executors if it has at most ``rows`` rows; else it is joined by key."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables made by :func:`written` that nothing reads any more."""
     for table in tables:
