@@ -45,8 +45,8 @@ HEADLINE = [
     "counter_rates",
     "cache_hit_ratio",
     "latency_by_profile",
-    "generated_customer_order_items",
-    "generated_movements",
+    "order_document_parts",
+    "turnover_best_sellers",
 ]
 
 

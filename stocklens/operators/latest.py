@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Columns that say in which order messages arrived, as far as a source has them.
+ARRIVAL = ["seq", "file", "line"]
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` values for each key.
@@ -23,6 +26,6 @@ def current_rows(changes: DataFrame) -> DataFrame:
     Deletes are dropped after the newest version is known; dropping them first
     would bring back older versions.
     """
-    order = ["version"] + (["seq"] if "seq" in changes.columns else [])
-    newest = latest_per_key(changes, ["inventory_movement_id"], order)
-    return newest.where("is_deleted = 0").drop("is_deleted", "seq")
+    arrival = [c for c in ARRIVAL if c in changes.columns]
+    newest = latest_per_key(changes, ["inventory_movement_id"], ["version", *arrival])
+    return newest.where("is_deleted = 0").drop("is_deleted", *arrival)

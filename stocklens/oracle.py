@@ -98,6 +98,8 @@ samples AS (
 
 START = "TIMESTAMP '1990-01-01'"
 END = "TIMESTAMP '2100-01-01'"
+ORDERS_FROM, ORDERS_TO = "TIMESTAMP '1996-03-05 12:00:00'", "TIMESTAMP '1998-07-01'"
+EVENTS_FROM, EVENTS_TO = "TIMESTAMP '2024-01-20 06:00:00'", "TIMESTAMP '2024-01-30'"
 AS_OF = "TIMESTAMP '2024-02-01'"
 AS_OF_TEXT = "'2024-02-01 00:00:00.000000'"
 
@@ -118,7 +120,7 @@ def add(name: str, body: str, extra: str = "") -> None:
 # --- analytic reports ------------------------------------------------------
 
 
-def turnover(restriction: str = "") -> str:
+def turnover(restriction: str = "", start: str = START, end: str = END, least: int = 1) -> str:
     return f"""SELECT warehouse_id, warehouse_name, product_id, product_name,
   CAST(received AS DOUBLE) AS received_quantity, CAST(shipped AS DOUBLE) AS shipped_quantity,
   CAST(total - received - shipped AS DOUBLE) AS adjusted_quantity, CAST(total AS DOUBLE) AS total_quantity,
@@ -127,9 +129,9 @@ FROM (
   SELECT warehouse_id, product_id, sum(quantity) AS total,
     coalesce(sum(quantity) FILTER (WHERE movement_type = 'receipt'), 0) AS received,
     coalesce(sum(quantity) FILTER (WHERE movement_type = 'shipment'), 0) AS shipped
-  FROM inventory_movements WHERE moved_at >= {START} AND moved_at < {END} {restriction} GROUP BY ALL)
+  FROM inventory_movements WHERE moved_at >= {start} AND moved_at < {end} {restriction} GROUP BY ALL)
 JOIN warehouses USING (warehouse_id) JOIN products USING (product_id)
-WHERE total >= 1
+WHERE total >= {least}
 QUALIFY product_rank <= 10"""
 
 
@@ -143,6 +145,18 @@ add(
     ),
 )
 
+add(
+    "turnover_best_sellers",
+    turnover(
+        f"""AND warehouse_id IN (
+    SELECT warehouse_id FROM inventory_movements WHERE moved_at >= {ORDERS_FROM} AND moved_at < {ORDERS_TO}
+    GROUP BY warehouse_id ORDER BY sum(quantity) DESC, warehouse_id LIMIT 10)""",
+        ORDERS_FROM,
+        ORDERS_TO,
+        40,
+    ),
+)
+
 REVENUE = """
 amounts AS (
   SELECT customer_order_id, category_name, sum(ordered_quantity * sale_price) AS amount
@@ -164,6 +178,24 @@ def revenue(kind: str) -> str:
 
 NEWEST = "ORDER BY d.sales_day DESC, d.revenue DESC, d.category_name LIMIT 100"
 add("revenue_by_day", f"{revenue('DECIMAL(38,5)')} (SELECT * FROM daily d {NEWEST})", REVENUE)
+add(
+    "revenue_between",
+    f"""{revenue('DECIMAL(38,5)')} (
+  SELECT * FROM daily d ORDER BY d.sales_day DESC, d.revenue DESC, d.category_name LIMIT 5000)""",
+    REVENUE.replace(
+        "JOIN customer_orders USING (customer_order_id)",
+        f"""JOIN (SELECT * FROM customer_orders WHERE created_at >= {ORDERS_FROM} AND created_at < {ORDERS_TO})
+  USING (customer_order_id)""",
+    ),
+)
+add(
+    "revenue_between_stored",
+    f"""{revenue('DECIMAL(18,2)')} (
+  SELECT * FROM (SELECT * REPLACE (CAST(revenue AS DECIMAL(18,2)) AS revenue) FROM daily) d
+  WHERE sales_day >= CAST({ORDERS_FROM} AS DATE) AND sales_day < CAST({ORDERS_TO} AS DATE)
+  ORDER BY d.sales_day DESC, d.revenue DESC, d.category_name LIMIT 5000)""",
+    REVENUE,
+)
 add("revenue_all_days", f"{revenue('DECIMAL(38,5)')} daily", REVENUE)
 add("revenue_stored", f"{revenue('DECIMAL(18,2)')} daily", REVENUE)
 add(
@@ -196,6 +228,27 @@ JOIN customer_order_items i ON i.customer_order_id = co.customer_order_id
 JOIN products p ON p.product_id = i.product_id
 GROUP BY co.customer_order_id, c.full_name""",
 )
+add(
+    "order_document_parts",
+    """SELECT customer_order_id, CAST((place - 1) // 3 AS BIGINT) AS part, count(*) AS line_count,
+  min(customer_order_item_id) AS first_line
+FROM (
+  SELECT customer_order_id, customer_order_item_id,
+    row_number() OVER (PARTITION BY customer_order_id ORDER BY customer_order_item_id) AS place
+  FROM customer_order_items JOIN products USING (product_id))
+JOIN customer_orders USING (customer_order_id) JOIN customers USING (customer_id)
+GROUP BY ALL""",
+)
+add(
+    "order_documents_by_id",
+    """SELECT customer_order_id, full_name,
+  (SELECT count(*) FROM notes n WHERE n.customer_order_id = o.customer_order_id) AS audit_note_count,
+  count(*) AS line_count
+FROM customer_orders o JOIN customers USING (customer_id)
+JOIN customer_order_items USING (customer_order_id) JOIN products USING (product_id)
+WHERE customer_order_id IN (SELECT c_custkey * 3 FROM customer)
+GROUP BY customer_order_id, full_name""",
+)
 
 # --- change stream and dashboards -----------------------------------------
 
@@ -235,6 +288,19 @@ add(
     f"""SELECT 'Warehouse ' || warehouse_id AS warehouse_name, CAST(sum(quantity) AS DOUBLE) AS total_quantity
 FROM current_movements {RANGE} GROUP BY warehouse_id ORDER BY sum(quantity) DESC, warehouse_id LIMIT 10""",
 )
+BETWEEN = f"WHERE moved_at >= {EVENTS_FROM} AND moved_at < {EVENTS_TO}"
+add("kpi_total_quantity_between", f"{TOTAL} {BETWEEN}")
+for _name, _range, _limit in [("between", BETWEEN, 5), ("unbounded", "", 10)]:
+    add(
+        f"daily_by_type_{_name}",
+        f"""SELECT {date('moved_at')} AS movement_day, movement_type, CAST(sum(quantity) AS DOUBLE) AS total_quantity
+FROM current_movements {_range} GROUP BY 1, 2""",
+    )
+    add(
+        f"top_locations_{_name}",
+        f"""SELECT 'Warehouse ' || warehouse_id AS warehouse_name, CAST(sum(quantity) AS DOUBLE) AS total_quantity
+FROM current_movements {_range} GROUP BY warehouse_id ORDER BY sum(quantity) DESC, warehouse_id LIMIT {_limit}""",
+    )
 add(
     "type_share",
     """SELECT movement_type, CAST(sum(quantity) AS DOUBLE) AS total_quantity,
@@ -594,105 +660,3 @@ add(
     "sampled_products",
     f"SELECT * FROM products ORDER BY {draw(7, 'product_id')}, product_id LIMIT 100",
 )
-
-# --- generators -------------------------------------------------------------
-
-
-def series(size: str) -> str:
-    return f"(SELECT unnest(range(1, ({size}) + 1)) AS n FROM size)"
-
-
-def grid(size: str, lines: int) -> str:
-    return (
-        f"(SELECT o.n AS order_n, l.n AS line_n FROM {series(size)} o "
-        f"CROSS JOIN (SELECT unnest(range(1, {lines + 1})) AS n) l)"
-    )
-
-
-def pick(n: str, values: list[str]) -> str:
-    return f"[{', '.join(repr(v) for v in values)}][{n} % {len(values)} + 1]"
-
-
-def ago(n: str) -> str:
-    return f"{AS_OF} - to_days(CAST({n} AS INTEGER))"
-
-
-GENERATED = {
-    "brands": f"SELECT n AS brand_id, 'Brand ' || n AS brand_name FROM {series('greatest(10, 2 * sc)')}",
-    "warehouses": f"""SELECT n AS warehouse_id, 'Warehouse ' || n AS warehouse_name,
-  'City ' || ((n - 1) % 5 + 1) AS city FROM {series('greatest(3, sc // 2)')}""",
-    "suppliers": f"""SELECT n AS supplier_id, 'Supplier ' || n AS supplier_name, 'supplier' || n || '@example.com' AS email,
-  '+100000' || repeat(' ', greatest(5 - length(CAST(n AS VARCHAR)), 0)) || n AS phone FROM {series('2 * sc')}""",
-    "employees": f"""SELECT n AS employee_id, 'Employee ' || n AS full_name, 'employee' || n || '@example.com' AS email,
-  {pick('n', ['manager', 'operator', 'picker', 'accountant'])} AS position_name, {ago('n % 700')} AS hired_at
-  FROM {series('greatest(5, sc)')}""",
-    "customers": f"""SELECT n AS customer_id, 'Customer ' || n AS full_name, 'customer' || n || '@example.com' AS email,
-  '+200000' || repeat(' ', greatest(5 - length(CAST(n AS VARCHAR)), 0)) || n AS phone, {ago('n % 365')} AS created_at
-  FROM {series('5 * sc')}""",
-    "products": f"""SELECT n AS product_id, (n - 1) % 8 + 1 AS category_id,
-  (n - 1) % (SELECT greatest(10, 2 * sc) FROM size) + 1 AS brand_id, 'Product ' || n AS product_name,
-  {pick('n', ['pcs', 'kg', 'box'])} AS unit_of_measure FROM {series('10 * sc')}""",
-    "supplier_orders": f"""SELECT 300000 + n AS supplier_order_id, (n - 1) % (SELECT 2 * sc FROM size) + 1 AS supplier_id,
-  (n - 1) % (SELECT greatest(5, sc) FROM size) + 1 AS created_by_employee_id, {ago('n % 45')} AS order_date,
-  {pick('n', ['placed', 'partially_received', 'received', 'draft'])} AS status FROM {series('2 * sc')}""",
-    "supplier_order_items": f"""SELECT 310000 + (order_n - 1) * 2 + line_n AS supplier_order_item_id,
-  300000 + order_n AS supplier_order_id, 1 + (order_n + line_n - 2) % (SELECT 10 * sc FROM size) AS product_id,
-  CAST(line_n + order_n % 5 + 1 AS DOUBLE) AS ordered_quantity, CAST(10 + order_n % 80 AS DOUBLE) AS unit_price
-  FROM {grid('2 * sc', 2)}""",
-    "goods_receipts": f"""SELECT 320000 + n AS goods_receipt_id, 300000 + n AS supplier_order_id,
-  (n - 1) % (SELECT greatest(3, sc // 2) FROM size) + 1 AS warehouse_id,
-  (n - 1) % (SELECT greatest(5, sc) FROM size) + 1 AS accepted_by_employee_id, {ago('n % 20')} AS received_at
-  FROM {series('2 * sc')}""",
-    "goods_receipt_items": f"""SELECT 330000 + (order_n - 1) * 2 + line_n AS goods_receipt_item_id,
-  320000 + order_n AS goods_receipt_id, 310000 + (order_n - 1) * 2 + line_n AS supplier_order_item_id,
-  CAST(line_n + order_n % 5 + 1 AS DOUBLE) AS received_quantity, CAST(12 + order_n % 90 AS DOUBLE) AS unit_cost,
-  {AS_OF} + to_days(CAST(order_n % 365 AS INTEGER)) AS expiration_date FROM {grid('2 * sc', 2)}""",
-    "customer_orders": f"""SELECT 400000 + n AS customer_order_id, 1 + (n - 1) % (SELECT 5 * sc FROM size) AS customer_id,
-  'Street ' || ((n - 1) % 70 + 1) || ', Building ' || ((n - 1) % 30 + 1) AS delivery_address,
-  {ago('n % 25')} AS created_at, {pick('n', ['new', 'confirmed', 'picking', 'shipped', 'delivered'])} AS status
-  FROM {series('5 * sc')}""",
-    "customer_order_items": f"""SELECT 410000 + (order_n - 1) * 4 + line_n AS customer_order_item_id,
-  400000 + order_n AS customer_order_id, 1 + (order_n + line_n - 2) % (SELECT 10 * sc FROM size) AS product_id,
-  CAST(line_n + 1 AS DOUBLE) AS ordered_quantity, CAST(20 + (order_n + line_n) % 120 AS DOUBLE) AS sale_price
-  FROM {grid('5 * sc', 4)}""",
-    "shipments": f"""SELECT 500000 + n AS shipment_id, 400000 + n AS customer_order_id,
-  (n - 1) % (SELECT greatest(3, sc // 2) FROM size) + 1 AS warehouse_id,
-  (n - 1) % (SELECT greatest(5, sc) FROM size) + 1 AS shipped_by_employee_id, {ago('n % 10')} AS shipped_at,
-  {pick('n', ['created', 'dispatched', 'delivered'])} AS status FROM {series('5 * sc')}""",
-    "shipment_items": f"""SELECT 510000 + (order_n - 1) * 2 + line_n AS shipment_item_id, 500000 + order_n AS shipment_id,
-  410000 + (order_n - 1) * 4 + line_n AS customer_order_item_id, CAST(line_n + 1 AS DOUBLE) AS shipped_quantity
-  FROM {grid('5 * sc', 2)}""",
-}
-SIZE = "size AS (SELECT count(*) // 5 AS sc FROM customer)"
-TIMES = {"created_at": stamp, "received_at": stamp, "shipped_at": stamp, "moved_at": stamp}
-DATES = {"hired_at": date, "order_date": date, "expiration_date": date}
-for _name, _sql in GENERATED.items():
-    _shown = [
-        f"{_show(_column)} AS {_column}"
-        for _column, _show in {**TIMES, **DATES}.items()
-        if f"AS {_column}" in _sql
-    ]
-    _replace = f" REPLACE ({', '.join(_shown)})" if _shown else ""
-    ORACLE[f"generated_{_name}"] = f"WITH {SIZE}\nSELECT *{_replace} FROM ({_sql})"
-
-_PARTS = ",\n".join(f"{_name} AS ({_sql})" for _name, _sql in GENERATED.items())
-ORACLE["generated_movements"] = f"""WITH {SIZE},
-{_PARTS},
-shipped AS (
-  SELECT 540000 + row_number() OVER (ORDER BY si.shipment_item_id) AS inventory_movement_id, i.product_id,
-    s.warehouse_id, 'shipment' AS movement_type, si.shipped_quantity AS quantity, s.shipped_at AS moved_at,
-    s.shipped_by_employee_id AS employee_id
-  FROM shipment_items si JOIN shipments s ON s.shipment_id = si.shipment_id
-  JOIN customer_order_items i ON i.customer_order_item_id = si.customer_order_item_id
-),
-received AS (
-  SELECT 530000 + row_number() OVER (ORDER BY ri.goods_receipt_item_id) AS inventory_movement_id, i.product_id,
-    r.warehouse_id, 'receipt' AS movement_type, ri.received_quantity AS quantity, r.received_at AS moved_at,
-    r.accepted_by_employee_id AS employee_id
-  FROM goods_receipt_items ri JOIN goods_receipts r ON r.goods_receipt_id = ri.goods_receipt_id
-  JOIN supplier_order_items i ON i.supplier_order_item_id = ri.supplier_order_item_id
-)
-SELECT * REPLACE ({stamp('moved_at')} AS moved_at) FROM (
-  SELECT * FROM received
-  UNION ALL
-  SELECT * FROM shipped WHERE inventory_movement_id NOT IN (SELECT inventory_movement_id FROM received))"""

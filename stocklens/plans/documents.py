@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocklens.operators.ranking import BROADCAST_ROWS
 from stocklens.plans.turnover import product_catalog
-from stocklens.session import fresh_dir
+
+# Lines of a long order that are sorted together.
+CHUNK_LINES = 100_000
 
 HEADER = [
     "customer_order_id",
@@ -72,16 +73,24 @@ def order_lines(tables: dict[str, DataFrame], order_ids: DataFrame | None = None
     return order_headers(tables, order_ids).join(named_items(tables, order_ids), "customer_order_id")
 
 
-def long_orders(items: DataFrame, lines_per_part: int) -> tuple[DataFrame, int]:
-    """Orders with more lines than fit one part, with their first line id, and how many there are."""
-    counts = items.groupBy("customer_order_id").agg(
-        F.count(F.lit(1)).alias("_lines"), F.min("customer_order_item_id").alias("_first")
-    )
-    path = fresh_dir(items.sparkSession, "long-orders")
-    found = counts.where(F.col("_lines") > lines_per_part).select("customer_order_id", "_first")
-    found.write.parquet(path)
-    written = items.sparkSession.read.schema(found.schema).parquet(path)
-    return written, written.count()
+def in_parts(lines: DataFrame, long: DataFrame, lines_per_part: int) -> DataFrame:
+    """The lines of the ``long`` orders with the ``part`` their place among the order's lines falls into.
+
+    An order's range of line ids is cut into as many chunks as its number of
+    lines asks for. Places are counted inside a chunk, and one row per chunk
+    says how many lines come before it, so no order is sorted as a whole.
+    """
+    width = F.expr(f"(_most - _least) div (1 + _lines div {CHUNK_LINES}) + 1")
+    chunk = F.expr("(customer_order_item_id - _least) div _width")
+    rows = lines.join(long.withColumn("_width", width), "customer_order_id").withColumn("_chunk", chunk)
+    key = ["customer_order_id", "_chunk"]
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("customer_order_id").orderBy("_chunk")) - F.col("_size")
+    starts = sizes.select(*key, before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.struct(*ITEM))) - 1
+    placed = rows.withColumn("_place", place).join(starts, key)
+    part = F.floor((F.col("_before") + F.col("_place")) / lines_per_part).cast("int")
+    return placed.select(*lines.columns, part.alias("part"))
 
 
 def order_documents(
@@ -89,33 +98,21 @@ def order_documents(
 ) -> DataFrame:
     """One document per order with its lines as an array sorted by line id.
 
-    An order with more than ``lines_per_part`` lines comes in several parts,
-    numbered along the line ids, each with the full header; no line is left
-    out and no task builds an unlimited array. Lines are gathered before they
-    meet the headers, so a header moves once per document, not per line.
+    An order with more than ``lines_per_part`` lines comes in several parts of
+    that many lines, the last one of the rest, each with the full header; no
+    line is left out and no task builds an unlimited array. Lines are gathered
+    before they meet the headers, so a header moves once per document.
     """
     items = named_items(tables, order_ids)
-    headers = order_headers(tables, order_ids)
+    line_id = F.col("customer_order_item_id")
+    sizes = chosen(tables["customer_order_items"], order_ids).groupBy("customer_order_id")
+    sizes = sizes.agg(F.count(F.lit(1)).alias("_lines"), F.min(line_id).alias("_least"), F.max(line_id).alias("_most"))
+    long = sizes.where(F.col("_lines") > lines_per_part)
     gathered = F.array_sort(F.collect_list(F.struct(*ITEM))).alias("items")
-    long, found = long_orders(chosen(tables["customer_order_items"], order_ids), lines_per_part)
-    if found == 0:
-        documents = items.groupBy("customer_order_id").agg(gathered)
-        return headers.join(documents, "customer_order_id").select(*HEADER, F.lit(0).alias("part"), "items")
-    if found <= BROADCAST_ROWS:
-        long = F.broadcast(long)
-    # Line ids are unique, so a range of lines_per_part ids holds at most that many lines.
-    nth = F.col("customer_order_item_id") - F.col("_first")
-    part = F.coalesce(F.floor(nth / lines_per_part), F.lit(0)).alias("part")
-    key = ["customer_order_id", "part"]
-    documents = items.join(long, "customer_order_id", "left").withColumn("part", part).groupBy(*key).agg(gathered)
-    parts = (
-        tables["customer_order_items"]
-        .join(long, "customer_order_id")
-        .select("customer_order_id", part.alias("_part"))
-        .distinct()
-    )
-    numbered = headers.join(parts, "customer_order_id", "left").withColumn("part", F.coalesce("_part", F.lit(0)))
-    return numbered.join(documents, key).select(*HEADER, "part", "items")
+    whole = items.join(long.select("customer_order_id"), "customer_order_id", "left_anti").groupBy("customer_order_id")
+    parts = in_parts(items, long, lines_per_part).groupBy("customer_order_id", "part")
+    documents = whole.agg(F.lit(0).alias("part"), gathered).unionByName(parts.agg(gathered))
+    return order_headers(tables, order_ids).join(documents, "customer_order_id").select(*HEADER, "part", "items")
 
 
 def order_responses(documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from stocklens.operators.latest import current_rows, latest_per_key
 from stocklens.operators.merge import backfill_totals, delete_keys, insert_missing, upsert
 from stocklens.operators.ordered import assign_by_bounds, assign_cyclic, assign_ids
 from stocklens.operators.ranking import sample_rows, top_by
-from stocklens.plans import dashboards, generate, latency, metrics, orders, revenue
+from stocklens.plans import dashboards, latency, metrics, orders, revenue
 from stocklens.plans.documents import order_documents, order_responses
 from stocklens.plans.turnover import turnover
 from stocklens.schemas import ORDER_STATUSES
@@ -47,6 +47,9 @@ START = "1990-01-01T00:00:00Z"
 END = "2100-01-01T00:00:00Z"
 AS_OF = "2024-02-01T00:00:00Z"
 SEED = 7
+# Bounds inside the data, one of them not at midnight.
+ORDERS_FROM, ORDERS_TO = "1996-03-05T12:00:00Z", "1998-07-01T00:00:00Z"
+EVENTS_FROM, EVENTS_TO = "2024-01-20T06:00:00Z", "2024-01-30T00:00:00Z"
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -92,6 +95,24 @@ def turnover_all_locations(spark, folder):
     return turnover(shop_tables(spark, folder), START, END, top_locations=None)
 
 
+@register
+def turnover_best_sellers(spark, folder):
+    """The ten locations with the greatest turnover, and of them products with much of it only."""
+    return turnover(shop_tables(spark, folder), ORDERS_FROM, ORDERS_TO, top_locations=10, min_quantity=40)
+
+
+@register
+def revenue_between(spark, folder):
+    return revenue.revenue_by_day(shop_tables(spark, folder), ORDERS_FROM, ORDERS_TO, limit=5000)
+
+
+@register
+def revenue_between_stored(spark, folder):
+    path = fresh_dir(spark, "revenue")
+    revenue.build_revenue_aggregate(shop_tables(spark, folder), path)
+    return revenue.stored_revenue_by_day(spark, path, ORDERS_FROM, ORDERS_TO, limit=5000)
+
+
 @register
 def revenue_by_day(spark, folder):
     return revenue.revenue_by_day(shop_tables(spark, folder), START, END)
@@ -133,12 +154,32 @@ def order_document_totals(spark, folder):
     total = F.aggregate(
         "b.items", F.lit(0).cast("decimal(24,2)"), lambda t, i: (t + i["sale_price"].cast("decimal(14,2)")).cast("decimal(24,2)")
     )
-    return parsed.select(
+    parts = parsed.select(
         F.col("b.order.order_id").alias("order_id"),
         F.col("b.order.customer_name").alias("customer_name"),
         F.size("b.items").alias("line_count"),
         total.alias("price_sum"),
     )
+    return parts.groupBy("order_id", "customer_name").agg(
+        F.sum("line_count").alias("line_count"), F.sum("price_sum").alias("price_sum")
+    )
+
+
+@register
+def order_document_parts(spark, folder):
+    """Parts of three lines at most: their sizes and first lines."""
+    documents = order_documents(shop_tables(spark, folder), lines_per_part=3)
+    first = F.element_at("items", 1)["customer_order_item_id"]
+    return documents.select("customer_order_id", "part", F.size("items").alias("line_count"), first.alias("first_line"))
+
+
+@register
+def order_documents_by_id(spark, folder):
+    """The documents of a list of orders."""
+    tables = shop_tables(spark, folder)
+    ids = base(spark, folder, "customer").select((F.col("c_custkey") * 3).alias("customer_order_id"))
+    documents = order_documents(tables, ids)
+    return documents.select("customer_order_id", "full_name", "audit_note_count", F.size("items").alias("line_count"))
 
 
 # --- change stream and dashboards -----------------------------------------
@@ -230,6 +271,31 @@ def top_locations(spark, folder):
     return dashboards.top_locations(current(spark, folder), START, END)
 
 
+@register
+def kpi_total_quantity_between(spark, folder):
+    return dashboards.total_quantity(current(spark, folder), EVENTS_FROM, EVENTS_TO)
+
+
+@register
+def daily_by_type_between(spark, folder):
+    return dashboards.daily_by_type(current(spark, folder), EVENTS_FROM, EVENTS_TO)
+
+
+@register
+def top_locations_between(spark, folder):
+    return dashboards.top_locations(current(spark, folder), EVENTS_FROM, EVENTS_TO, 5)
+
+
+@register
+def daily_by_type_unbounded(spark, folder):
+    return dashboards.daily_by_type(current(spark, folder))
+
+
+@register
+def top_locations_unbounded(spark, folder):
+    return dashboards.top_locations(current(spark, folder))
+
+
 @register
 def type_share(spark, folder):
     return rounded(dashboards.type_share(current(spark, folder)), "share", digits=9)
@@ -575,44 +641,3 @@ def newest_notes(spark, folder):
 @register
 def sampled_products(spark, folder):
     return sample_rows(shop_tables(spark, folder)["product_catalog"], "product_id", 100, SEED)
-
-
-# --- generators, sized by the given customer table --------------------------
-
-
-def seed_count(spark: SparkSession, folder: str) -> int:
-    return base(spark, folder, "customer").count() // generate.sizes(1)["customers"]
-
-
-def register_generated(table: str) -> None:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return generate.TABLES[table](spark, seed_count(spark, folder), AS_OF)
-
-    run.__name__ = f"generated_{table}"
-    register(run)
-
-
-GENERATED = [
-    "brands",
-    "warehouses",
-    "suppliers",
-    "employees",
-    "customers",
-    "products",
-    "supplier_orders",
-    "supplier_order_items",
-    "goods_receipts",
-    "goods_receipt_items",
-    "customer_orders",
-    "customer_order_items",
-    "shipments",
-    "shipment_items",
-]
-for _table in GENERATED:
-    register_generated(_table)
-
-
-@register
-def generated_movements(spark, folder):
-    n = seed_count(spark, folder)
-    return generate.movements({t: generate.TABLES[t](spark, n, AS_OF) for t in generate.MOVEMENT_SOURCES})

@@ -17,14 +17,35 @@ def read_change_topic(spark: SparkSession, options: dict[str, str]) -> DataFrame
 
 
 def read_change_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of text files with one message per line, ordered by file time."""
-    raw = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return raw.select(F.unix_millis("_metadata.file_modification_time").alias("seq"), "value")
+    """Stream of text files with one message per line, in the order of file time, file name and line.
+
+    ``seq`` is the file time; ``file`` and ``line`` order messages of one time.
+    Files are read whole, so they should be of the size of one batch at most.
+    """
+    raw = (
+        spark.readStream.format("text")
+        .option("wholetext", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(path)
+    )
+    lines = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")
+    return raw.select(
+        F.unix_millis("_metadata.file_modification_time").alias("seq"),
+        F.col("_metadata.file_name").alias("file"),
+        F.posexplode(lines).alias("line", "value"),
+    )
 
 
-def stream_parquet(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """Stream of the Parquet files called ``name`` in ``folder``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def stream_parquet(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of the Parquet table ``name`` in ``folder``, a single file or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        raise FileNotFoundError(f"{folder}/{name}")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if files.getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def snapshot_as_changes(table: DataFrame, source_ts_ms: int, name: str = "inventory_movements") -> DataFrame:

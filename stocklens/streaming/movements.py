@@ -7,20 +7,21 @@ it is read, so late and repeated messages need no special care.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stocklens.functions.changes import parse_changes, unreadable_changes
-from stocklens.operators.latest import current_rows
+from stocklens.operators.latest import ARRIVAL, current_rows
 from stocklens.streaming.batches import compact_batches, read_batches, write_batch
 
 CHANGES = (
-    "seq BIGINT, inventory_movement_id BIGINT, product_id BIGINT, warehouse_id BIGINT, movement_type STRING, "
+    "seq BIGINT, file STRING, line INT, inventory_movement_id BIGINT, product_id BIGINT, warehouse_id BIGINT, movement_type STRING, "
     "quantity DECIMAL(14,3), moved_at TIMESTAMP, employee_id BIGINT, cdc_op STRING, cdc_source_ts_ms BIGINT, "
     "version BIGINT, is_deleted INT"
 )
-REJECTED = "seq BIGINT, value STRING"
+REJECTED = "seq BIGINT, file STRING, line INT, value STRING"
 KEY = ["inventory_movement_id"]
-ORDER = ["version", "seq"]
+ORDER = ["version", *ARRIVAL]
 
 
 def load_changes(
@@ -29,14 +30,21 @@ def load_changes(
     """Start loading ``(seq, value)`` messages below ``path``; bad messages are kept apart.
 
     ``once`` stops after everything available was read. The clock, when used
-    as the version, is the batch's, so a repeated batch gets the same versions.
+    as the version, is that of the batch in the stream's own log, so a repeated
+    batch gets the same versions.
     """
+    if ingest_ms is None:
+        messages = messages.withColumn("_ingest_ms", F.unix_millis(F.current_timestamp()))
+    else:
+        messages = messages.withColumn("_ingest_ms", F.lit(ingest_ms).cast("bigint"))
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        write_batch(parse_changes(batch, ingest_ms), f"{path}/changes", batch_id)
-        write_batch(unreadable_changes(batch), f"{path}/rejected", batch_id)
-        batch.unpersist()
+        try:
+            write_batch(parse_changes(batch, F.col("_ingest_ms")).drop("_ingest_ms"), f"{path}/changes", batch_id)
+            write_batch(unreadable_changes(batch).drop("_ingest_ms"), f"{path}/rejected", batch_id)
+        finally:
+            batch.unpersist()
 
     writer = messages.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -65,9 +65,7 @@ def run_status_stream(
     count from 1 within a batch; ``(batch, id)`` is unique.
     """
 
-    def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
+    def apply_persisted(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
         named = batch.select(*KEY).distinct()
         # A batch has no size estimate; counted small, its keys are brought to
         # the orders, which then need no shuffle.
@@ -84,7 +82,14 @@ def run_status_stream(
             last = last_commands(batch).join(known.select(*KEY), KEY, "left_semi")
             changed = last.select(*KEY, "status", "seq", instant(as_of).alias("changed_at"))
             write_batch(changed, f"{path}/states", batch_id)
-        batch.unpersist()
+
+    def apply_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        try:
+            apply_persisted(spark, batch, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = commands.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

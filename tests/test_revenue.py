@@ -142,6 +142,19 @@ def test_long_orders_come_in_parts_without_loss(shop):
     assert [[i.customer_order_item_id for i in d["items"]] for d in documents] == [[11, 12], [13]]
 
 
+@pytest.mark.parametrize("lines_per_part", [2, 3, 10_000])
+def test_parts_hold_every_line_of_sparse_ids(spark, shop, lines_per_part):
+    ids = [2**40 * i for i in range(1, 8)] + [5, 6]
+    items = shop["customer_order_items"]
+    line = items.where("customer_order_item_id = 11").drop("customer_order_item_id")
+    numbers = spark.createDataFrame([(i,) for i in ids], "customer_order_item_id BIGINT")
+    many = {**shop, "customer_order_items": line.crossJoin(numbers).select(items.columns)}
+    found = order_documents(many, lines_per_part=lines_per_part).orderBy("part").collect()
+    assert [d.part for d in found] == list(range(-(-len(ids) // lines_per_part)))
+    assert [i.customer_order_item_id for d in found for i in d["items"]] == sorted(ids)
+    assert all(len(d["items"]) == lines_per_part for d in found[:-1])
+
+
 def test_response_text(spark, shop):
     wanted = spark.createDataFrame([(3,)], "customer_order_id BIGINT")
     body = json.loads(order_responses(order_documents(shop, wanted)).first().body)

@@ -4,7 +4,7 @@ import os
 import pytest
 
 from stocklens.operators.latest import current_rows
-from stocklens.sources.changes import read_change_files, read_change_topic
+from stocklens.sources.changes import read_change_files, read_change_topic, stream_parquet
 from stocklens.streaming import movements, status
 from stocklens.streaming.batches import write_batch
 from test_changes import message, state
@@ -141,3 +141,38 @@ def test_log_only_stream(spark, tmp_path, rows):
     run(spark, path, [COMMANDS], log_only=True)
     assert rows(status.current_orders(stored(spark), path), "status") == [("new",), ("new",), ("picking",)]
     assert {r.event_source for r in status.read_events(spark, path).collect()} == {"k6-log-stream"}
+
+
+def test_changes_of_one_key_in_one_file_go_by_line(spark, place):
+    place(message(1, quantity="1.000"), message(1, quantity="2.000"), message(1, quantity="3.000"), message(2, op="c"),
+          json.dumps({"inventory_movement_id": 2, "__op": "d", "__source_ts_ms": 1, "__deleted": "true"}))
+    assert state(load(spark, place, ingest_ms=10**15)) == [(1, "receipt", "3.000")]
+
+
+def test_a_replayed_batch_has_the_same_versions(spark, place, tmp_path):
+    place(message(1), message(2))
+    load(spark, place, ingest_ms=None)
+    first = sorted(r.version for r in movements.read_versions(spark, place.table).collect())
+    # Without its commit the batch is run again.
+    for name in os.listdir(f"{place.checkpoint}/commits"):
+        os.replace(f"{place.checkpoint}/commits/{name}", tmp_path / f"gone-{name}")
+    load(spark, place, ingest_ms=None)
+    assert sorted(r.version for r in movements.read_versions(spark, place.table).collect()) == first
+
+
+def test_a_table_of_part_files_streams_like_one_file(spark, tmp_path):
+    rows = spark.range(30).selectExpr("id")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    part = next(n for n in os.listdir(tmp_path / "one") if n.endswith(".parquet"))
+    os.makedirs(tmp_path / "t")
+    os.link(tmp_path / "one" / part, tmp_path / "t" / "single.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "t" / "many.parquet"))
+    for name in ("single.parquet", "many.parquet"):
+        stream = stream_parquet(spark, str(tmp_path / "t"), name, rows.schema, files_per_batch=1)
+        out = str(tmp_path / f"out-{name}")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start(
+            out
+        ).awaitTermination()
+        assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))
+    with pytest.raises(FileNotFoundError):
+        stream_parquet(spark, str(tmp_path / "t"), "absent.parquet", rows.schema)
