@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.llm.arrays import utf8
-from stocklens.llm.shared import prepare
+from stocklens.llm.shared import prepare, some_rows
 
 SUBWORDS = (3, 4)
 BUCKETS = 1 << 15
@@ -64,14 +64,14 @@ def subwords(data: np.ndarray, places: np.ndarray):
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its buckets and their shares of all its subwords."""
+    """For each text its buckets and their shares of all its subwords, in small types: there are many of them."""
     out = []
     for one in texts:
-        counts = np.zeros(BUCKETS)
+        counts = np.zeros(BUCKETS, np.float32)
         for buckets, _ in subwords(*lowered(pa.array([one], pa.string()))):
             counts += np.bincount(buckets, minlength=BUCKETS)
         held = np.flatnonzero(counts)
-        out.append((held, counts[held] / max(counts.sum(), 1)))
+        out.append((held.astype(np.uint16), counts[held] / max(counts.sum(), 1)))
     return out
 
 
@@ -115,6 +115,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             bias -= rate * 0.1 * slope
             # Shares are small, so the embeddings take longer steps.
             embedding[held] -= 20 * rate * np.outer(share, back)
+    del vectors, examples
     votes = embedding @ output
     logits = np.array([share @ votes[held] + bias for held, share in features([t for t, _ in tested])])
     truth = np.array([number[lang] for _, lang in tested])
@@ -128,10 +129,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` rows of ``labelled`` (``doc_id``, ``text``, ``lang``), in the order of a hash of the id."""
+    """At most ``rows`` rows of ``labelled`` (``doc_id``, ``text``, ``lang``), in the order of a hash."""
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL").where(F.length("text") <= SAMPLE_CHARS)
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text", "lang")]
-    return [(r.text, r.lang) for r in usable.orderBy(*order).limit(rows).select("text", "lang").collect()]
+    return [(r.text, r.lang) for r in some_rows(usable.select("doc_id", "text", "lang"), rows)]
 
 
 def has_letter(data: np.ndarray, places: np.ndarray) -> np.ndarray:
