@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocklens.llm.shared import discard, narrow, written
+from stocklens.llm.shared import discard, written
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every greater neighbour of a node is linked to the least node of its neighbourhood."""
@@ -48,12 +49,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.union(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows of keys that several nodes have, stored, with ``weight``: the sum of the sizes of all keys of the node."""
+def shared_keys(keys: DataFrame, light: DataFrame | None = None) -> DataFrame:
+    """The rows of keys that several nodes have, stored, with ``weight``: the sum of the sizes of all keys of the node.
+
+    ``light`` has few, narrow columns for each ``node``, which the rows then carry.
+    """
     sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = written(keys.join(sizes, "key"), "shared")
     weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = written(shared.join(weights, "node").select("key", "node", "weight"), "members")
+    members = shared.join(weights, "node").select("key", "node", "weight")
+    members = written(members if light is None else members.join(light, "node"), "members")
     discard(sizes, shared)
     return members
 
@@ -68,18 +73,15 @@ def apart(rows: DataFrame) -> DataFrame:
     return rows.join(mains, "key")
 
 
-def pairs_apart(rows: DataFrame, condition: Column | None = None, light: DataFrame | None = None) -> DataFrame:
+def pairs_apart(rows: DataFrame, condition: Column | None = None) -> DataFrame:
     """Distinct pairs ``a < b`` of nodes of one ``key`` and different components.
 
     Only nodes outside a key's main component meet all others, so a key costs
     the number of its outsiders times its nodes, not the square. ``condition``
-    is checked inside the join; it finds the remaining columns of the rows, and
-    those of ``light`` for each ``node``, with ``_a`` and ``_b`` appended and
-    has to be symmetric.
+    is checked inside the join; it finds the remaining columns of the rows with
+    ``_a`` and ``_b`` appended and has to be symmetric.
     """
     rows = apart(rows)
-    if light is not None:
-        rows = narrow(written(rows, "apart")).join(light, "node")
     sides = {
         end: rows.select("key", *[F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "key"]) for end in "ab"
     }
@@ -93,7 +95,10 @@ def pairs_apart(rows: DataFrame, condition: Column | None = None, light: DataFra
 
 
 def linked_by_keys(
-    members: DataFrame, accept: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] = pairs_apart
+    members: DataFrame,
+    accept: Callable[[DataFrame], DataFrame],
+    rest: Callable[[DataFrame], DataFrame] = pairs_apart,
+    condition: Column | None = None,
 ) -> DataFrame:
     """Components of the nodes, where nodes that share a key are linked if ``accept`` keeps their pair.
 
@@ -104,14 +109,19 @@ def linked_by_keys(
     as the original of many copies has, meets the others. Then ``rest`` gets
     the rows (``key``, ``node``, ``component``) of all keys and gives the pairs
     of different components which are still to be looked at. Nodes without an
-    accepted pair are left out.
+    accepted pair are left out. ``condition``, as in :func:`pairs_apart`, holds
+    for every pair that ``accept`` would keep, and spares it the first pairs
+    that do not meet it.
     """
-    best = members.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best"))
+    light = [c for c in members.columns if c not in ("key", "node", "weight")]
+    best = members.groupBy("key").agg(F.max(F.struct("weight", "node", *light)).alias("best"))
     met = members.join(best, "key").where("node <> best.node")
-    stars = met.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
+    met = met.select(*[F.col(side + c).alias(c + end) for c in ("node", *light) for side, end in (("", "_a"), ("best.", "_b"))])
+    met = met if condition is None else met.where(condition)
+    stars = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     groups = written(components(accept(stars)), "groups")
     placed = members.join(groups, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
+        "key", "node", F.coalesce("component", "node").alias("component"), *light
     )
     links = accept(rest(placed))
     known = groups.where("node <> component").select("node", "component")
