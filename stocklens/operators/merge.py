@@ -64,17 +64,23 @@ def upsert(
 
 
 def insert_missing(
-    target: DataFrame, source: DataFrame, keys: list[str], expect_few: bool = False
+    target: DataFrame, source: DataFrame, keys: list[str], expect_few: bool = False, order: list[str] | None = None
 ) -> DataFrame:
-    """Add the source rows whose key is absent; of equal source keys one row is kept.
+    """Add the source rows whose key is absent; of equal source keys the first by ``order`` is kept.
 
-    ``expect_few`` as in :func:`upsert`.
+    Rows equal in ``order``, or all if there is none, go by their other columns
+    as the target has them. ``expect_few`` as in :func:`upsert`.
     """
     known = target.select(*keys)
     if expect_few and is_small(source):
         known = known.join(F.broadcast(source.select(*keys).distinct()), keys, "left_semi")
-    absent = source.join(known, keys, "left_anti").dropDuplicates(keys)
-    return target.unionByName(absent.select(*target.columns))
+    absent = source.join(known, keys, "left_anti")
+    fields = [c for c in target.columns if c not in keys]
+    if not fields:
+        return target.unionByName(absent.select(*target.columns).distinct())
+    place = F.struct(*[F.col(c).alias(f"_order_{c}") for c in order or []], *fields)
+    first = absent.groupBy(*keys).agg(F.min(place).alias("_first"))
+    return target.unionByName(first.select(*keys, *[F.col("_first")[c].alias(c) for c in fields]))
 
 
 def delete_keys(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,6 +46,13 @@ def test_upsert_on_two_keys(spark, rows):
     assert rows(upsert(target, source, ["k", "a"])) == [(1, "x", 10), (1, "y", 21), (2, "y", 5)]
 
 
+def test_insert_missing_keeps_the_first_by_order(spark, rows):
+    target = spark.createDataFrame([(1, 10)], "k INT, v INT")
+    source = spark.createDataFrame([(2, 5, 2), (2, 9, 1), (1, 0, 0), (3, 7, 1), (3, 6, 1)], "k INT, v INT, seq INT")
+    assert rows(insert_missing(target, source, ["k"], order=["seq"])) == [(1, 10), (2, 9), (3, 6)]
+    assert rows(insert_missing(target, source, ["k"])) == [(1, 10), (2, 5), (3, 6)]
+
+
 def test_insert_missing_keeps_the_target_and_one_of_equal_keys(spark, rows):
     target = table(spark, (1, "x", 10))
     source = table(spark, (1, "no", 0), (2, "y", 1), (2, "y", 1))
