@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import re
-import zlib
+import warnings
 from collections import Counter, deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +31,14 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # Strings that could be credentials of an inferred format.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SAMPLE_VALUES = 400
-SAMPLE_WORDS = 2000
 LONGEST = 200  # credentials beyond this length are not learned from
 CONFIDENCE = 0.01
+# Strings apart from the patterns are ordinary ones, but so many of them, as a share or at least in number, can be
+# credentials themselves: a format's least score is not put above those.
+SECRET_SHARE = 0.001
+SECRET_STRINGS = 5
+EDGE = "\n"  # the end of a string where symbols are counted
+SHORT_STRING = 64  # scores of strings up to this length are remembered
 
 Span = tuple[str, int, int]
 
@@ -53,6 +59,22 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def others(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """Places of the strings apart from ``spans`` that could be credentials of an inferred format."""
+    taken = sorted((a, b) for _, a, b in spans)
+    for m in CANDIDATE.finditer(text):
+        while taken and taken[0][1] <= m.start():
+            taken.pop(0)
+        if not taken or m.end() <= taken[0][0]:
+            yield m.span()
+
+
+def remembered(score: Callable[[str], float]) -> Callable[[str], float]:
+    """The same function, which does not work out again what it has told of a frequent short string."""
+    short = lru_cache(1 << 16)(score)
+    return lambda value: short(value) if len(value) <= SHORT_STRING else score(value)
+
+
 def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -174,82 +196,192 @@ class Automaton:
         return total + math.log((state.ended + 0.01) / (state.passed + 1.0))
 
 
+def sort_of(value: str) -> str:
+    """Words and numbers are told apart, since a number has nothing but symbols that are rare in words."""
+    return "a" if any(c.isalpha() for c in value) else "0"
+
+
+class Ordinary:
+    """How likely a string is as an ordinary one, from the symbols of words and those of numbers (:func:`symbol_counts`).
+
+    Symbols count by themselves: were their order learned, the few credentials
+    among the strings would soon be the measure of what is ordinary.
+    """
+
+    def __init__(self, counts: dict[str, int]):
+        totals, strings = Counter(), Counter()
+        for key, times in counts.items():
+            totals[key[0]] += times
+            strings[key[0]] += times if key[1] == EDGE else 0
+        self.sorts = {s: math.log((strings[s] + 1) / (strings.total() + 2)) for s in "a0"}
+        self.other = {s: math.log(1 / (totals[s] + 100)) for s in "a0"}
+        self.symbols = {key: math.log((times + 1) / (totals[key[0]] + 100)) for key, times in counts.items()}
+
+    def log_likelihood(self, value: str) -> float:
+        """Natural logarithm of the probability of the string."""
+        sort = sort_of(value)
+        symbols, other = self.symbols, self.other[sort]
+        return self.sorts[sort] + symbols.get(sort + EDGE, other) + sum(symbols.get(sort + c, other) for c in value)
+
+
+@dataclass
+class Format:
+    """An automaton of a kind and the gains of credentials that it has not learned, in order."""
+
+    kind: str
+    automaton: Automaton
+    gains: list[float]
+    lengths: tuple[int, int]
+
+    def gain(self, value: str, plain: float) -> float:
+        """How much likelier the string is as a credential than as an ordinary one (``plain``), per symbol."""
+        return (self.automaton.log_likelihood(value) - plain) / len(value)
+
+
 @dataclass
 class Formats:
-    """Automata by kind, the frequencies of symbols in ordinary words, and the score from which a string counts."""
+    """Automata by kind with the score from which a string counts and the lengths they accept, and ordinary strings."""
 
     automata: list[tuple[Automaton, float, tuple[int, int]]]
-    symbols: dict[str, float]
-    other: float
-
-    def ordinary(self, value: str) -> float:
-        return sum(self.symbols.get(c, self.other) for c in value) - 3.0
+    ordinary: Ordinary
 
     def scored(self, value: str) -> float:
         """The greatest gain over an ordinary word, per symbol, among the formats that accept it; or minus infinity."""
-        best = -math.inf
+        best, plain = -math.inf, self.ordinary.log_likelihood(value)
         for automaton, least, (low, high) in self.automata:
             if low <= len(value) <= high:
-                gain = (automaton.log_likelihood(value) - self.ordinary(value)) / len(value)
+                gain = (automaton.log_likelihood(value) - plain) / len(value)
                 if gain >= least:
                     best = max(best, gain)
         return best
 
 
-def infer(values: dict[str, list[str]], words: list[str]) -> Formats:
-    """Formats of the labelled credentials (by kind), told from ordinary ``words``.
+def symbol_counts(words: dict[str, int]) -> Counter:
+    """How often words and numbers have each symbol, and end, in the strings, which occur so many times."""
+    counts: Counter = Counter()
+    for word, times in words.items():
+        sort = sort_of(word)
+        for symbol in [*word, EDGE]:
+            counts[sort + symbol] += times
+    return counts
 
-    Each format's least score keeps 99 of 100 credentials of a quarter that its
-    automaton has not learned, is above all the ordinary words, and asks for a
-    gain at all. Values that look like words do not make a format.
-    """
-    counts = Counter(c for w in words for c in w)
-    total = sum(counts.values()) + 100.0
-    symbols = {c: math.log((n + 1) / total) for c, n in counts.items()}
-    formats = Formats([], symbols, math.log(1 / total))
+
+def learned(values: dict[str, list[str]], ordinary: Ordinary) -> list[Format]:
+    """An automaton for each kind from three quarters of its values; the others tell what gains to expect."""
+    found = []
     for kind in sorted(values):
         own = sorted(set(values[kind]))
-        if len(own) < 5:
-            continue
-        automaton = Automaton([v for i, v in enumerate(own) if i % 4])
-        gains = sorted((automaton.log_likelihood(v) - formats.ordinary(v)) / len(v) for v in own[::4])
-        false = max(((automaton.log_likelihood(w) - formats.ordinary(w)) / len(w) for w in words), default=0.0)
-        lengths = sorted(map(len, own))
-        least = max(gains[len(gains) // 100], false + 0.1, 0.2)
-        if least <= gains[len(gains) // 2]:
-            formats.automata.append((automaton, least, (max(16, lengths[0]), lengths[-1])))
+        if len(own) >= 5:
+            lengths = sorted(map(len, own))
+            one = Format(kind, Automaton([v for i, v in enumerate(own) if i % 4]), [], (max(16, lengths[0]), lengths[-1]))
+            one.gains = sorted(one.gain(v, ordinary.log_likelihood(v)) for v in own[::4])
+            found.append(one)
+    return found
+
+
+def steps(found: list[Format], ordinary: Ordinary) -> Callable[[str], tuple[int, ...]]:
+    """The gain of a string by each format in whole hundredths, rounded up."""
+
+    def of(value: str) -> tuple[int, ...]:
+        plain = ordinary.log_likelihood(value)
+        return tuple(math.ceil(100 * one.gain(value, plain)) for one in found)
+
+    return of
+
+
+def limited(found: list[Format], ordinary: Ordinary, background: list[dict[int, int]]) -> Formats:
+    """The formats with their least scores; ``background`` counts the gains of ordinary strings by each format.
+
+    Each format's least score keeps 99 of 100 credentials that its automaton has
+    not learned, is above the ordinary strings but for those that may be
+    credentials themselves, and asks for a gain at all. A format whose typical
+    values do not reach it looks like ordinary strings; it is left out with a warning.
+    """
+    formats = Formats([], ordinary)
+    for one, counts in zip(found, background, strict=True):
+        left = max(SECRET_STRINGS, int(SECRET_SHARE * sum(counts.values())))
+        false = -math.inf
+        for step in sorted(counts, reverse=True):
+            left -= counts[step]
+            if left < 0:
+                false = step / 100
+                break
+        least = max(one.gains[len(one.gains) // 100], false, 0.2)
+        usual = one.gains[len(one.gains) // 2]
+        if least <= usual:
+            formats.automata.append((one.automaton, least, one.lengths))
+        else:
+            warnings.warn(
+                f"no format for {one.kind!r} credentials: half of them gain {usual:.2f} at most, {least:.2f} is asked for",
+                stacklevel=2,
+            )
     return formats
 
 
-def labelled(docs: DataFrame) -> tuple[dict[str, list[str]], list[str]]:
-    """A bounded sample of distinct credentials by kind, and of ordinary long words, in the order of a hash."""
+def infer(values: dict[str, list[str]], words: list[str]) -> Formats:
+    """Formats of the labelled credentials (by kind), told from ordinary ``words``; see :func:`limited`."""
+    ordinary = Ordinary(symbol_counts(Counter(words)))
+    found = learned(values, ordinary)
+    of = steps(found, ordinary)
+    gains = [of(w) for w in words]
+    return limited(found, ordinary, [Counter(g[i] for g in gains) for i in range(len(found))])
+
+
+def labelled(docs: DataFrame) -> tuple[dict[str, list[str]], dict[str, int]]:
+    """A bounded sample of distinct credentials by kind, in the order of a hash, and the symbols of all other strings."""
 
     def run(batches):
         for batch in batches:
-            kinds, values, words = [], [], set()
+            values, words = set(), Counter()
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 for kind, start, end in spans:
                     value = ASSIGN.match(text[start:end])[2] if kind == "assign" else text[start:end]
-                    kinds.append(kind)
-                    values.append(value)
-                if not spans:  # ordinary words come from texts in which no pattern matches
-                    words.update(CANDIDATE.findall(text))
-            some = heapq.nsmallest(SAMPLE_WORDS // 10, words, key=lambda w: (zlib.crc32(w.encode()), w))
-            kinds += ["word"] * len(some)
-            values += some
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
-
-    found = docs.select("text").mapInArrow(run, "kind string, value string")
-    found = written(found.where(F.length("value") <= LONGEST).distinct(), "credentials")
+                    values.add((kind, value))
+                words.update(text[a:b] for a, b in others(text, spans))
+            rows = [(k, v, 0) for k, v in values] + [("symbol", c, n) for c, n in symbol_counts(words).items()]
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            kinds = (pa.string(), pa.string(), pa.int64())
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["kind", "value", "times"])
+
+    found = docs.select(F.col("text").cast("string").alias("text"))
+    found = found.mapInArrow(run, "kind string, value string, times bigint").where(F.length("value") <= LONGEST)
+    found = written(found.groupBy("kind", "value").agg(F.sum("times").alias("times")), "credentials")
     out: dict[str, list[str]] = {}
-    for kind in (*KINDS[:3], "word"):
-        most = SAMPLE_WORDS if kind == "word" else SAMPLE_VALUES
-        rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(most)
+    for kind in KINDS[:3]:
+        rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE_VALUES)
         out[kind] = [r.value for r in rows.select("value").collect()]
+    symbols = {r.value: r.times for r in found.where("kind = 'symbol'").collect()}
     discard(found)
-    return out, out.pop("word")
+    return out, symbols
+
+
+def background(docs: DataFrame, found: list[Format], ordinary: Ordinary) -> list[dict[int, int]]:
+    """For each format how many of the strings apart from the patterns have which gain, over all rows."""
+    sent = docs.sparkSession.sparkContext.broadcast((found, ordinary))
+
+    def run(batches):
+        of = remembered(steps(*sent.value))
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                for a, b in others(text, base_spans(text)):
+                    counts.update(enumerate(of(text[a:b])))
+            which, step = zip(*counts, strict=True) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (which, step, list(counts.values()))], names=["format", "step", "times"]
+            )
+
+    out: list[dict[int, int]] = [{} for _ in found]
+    if found:
+        rows = docs.select(F.col("text").cast("string").alias("text"))
+        rows = rows.mapInArrow(run, "format bigint, step bigint, times bigint")
+        for r in rows.groupBy("format", "step").agg(F.sum("times").alias("times")).collect():
+            out[r["format"]][r.step] = r.times
+    return out
 
 
 def scan(docs: DataFrame, formats: Formats) -> DataFrame:
@@ -264,16 +396,14 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
 
     def run(batches):
         known = sent.value
+        scored = remembered(known.scored)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 if known.automata:
-                    taken = [(a, b) for _, a, b in spans]
-                    for m in CANDIDATE.finditer(text):
-                        if all(m.end() <= a or m.start() >= b for a, b in taken) and known.scored(m[0]) > 0:
-                            spans.append(("format", m.start(), m.end()))
+                    spans += [("format", a, b) for a, b in others(text, spans) if scored(text[a:b]) > 0]
                 rows.append([{"kind": k, "start": a, "end": b} for k, a, b in ordered(spans)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
@@ -284,9 +414,16 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """:func:`scan` of ``docs`` with formats inferred from a bounded sample of what the patterns find in it."""
+    """:func:`scan` of ``docs`` with formats inferred from a bounded sample of what the patterns find in it.
+
+    What they are told from, symbols and gains of the strings apart from the
+    patterns, is counted over all rows.
+    """
     prepare(docs.sparkSession)
-    return scan(docs, infer(*labelled(docs)))
+    values, symbols = labelled(docs)
+    ordinary = Ordinary(symbols)
+    found = learned(values, ordinary)
+    return scan(docs, limited(found, ordinary, background(docs, found, ordinary)))
 
 
 def base_digest(spans: list[Span]) -> str:

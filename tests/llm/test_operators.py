@@ -124,6 +124,17 @@ def test_formats_are_inferred():
     assert not any(formats.scored("".join(rng.choices(["the", "er", "tion"], k=7))) > 0 for _ in range(100))
 
 
+def test_credentials_among_ordinary_words_do_not_shut_out_their_format():
+    rng = random.Random(2)
+    new = lambda: "".join(rng.choices("0123456789abcdef", k=32))
+    words = ["".join(rng.choices(["the", "er", "ing", "tion", "re", "an"], k=7)) for _ in range(300)]
+    hidden = [new() for _ in range(4)]
+    formats = credentials.infer({"hex": [new() for _ in range(100)]}, words + hidden)
+    assert sum(formats.scored(v) > 0 for v in hidden) >= 3 and not any(formats.scored(w) > 0 for w in words)
+    with pytest.warns(UserWarning, match="no format for 'assign'"):
+        assert not credentials.infer({"assign": words[:100]}, words).automata
+
+
 def test_secret_spans_of_odd_rows(documents):
     rows = [(9, "é token = \"abcdef123\" token: token: abcdef AKIA" + "Q" * 16 + " " + "0af" * 8)]
     found = credentials.secrets(documents([*ODD, *rows])).collect()
