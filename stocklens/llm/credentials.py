@@ -28,10 +28,10 @@ KINDS = ("assign", "access", "hex", "format")
 # Texts without any of these words in lower case have no assignment.
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-# Strings that could be credentials of an inferred format.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# Strings that could be credentials of an inferred format: of the symbols and the least length that a labelled value has.
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{ASSIGNED},}}")
 SAMPLE_VALUES = 400
-LONGEST = 200  # credentials beyond this length are not learned from
+LONGEST = 200  # of longer credentials the beginning is learned, without an end
 CONFIDENCE = 0.01
 # Strings apart from the patterns are ordinary ones, but so many of them, as a share or at least in number, can be
 # credentials themselves: a format's least score is not put above those.
@@ -61,12 +61,14 @@ def base_spans(text: str) -> list[Span]:
 
 def others(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
     """Places of the strings apart from ``spans`` that could be credentials of an inferred format."""
-    taken = sorted((a, b) for _, a, b in spans)
-    for m in CANDIDATE.finditer(text):
-        while taken and taken[0][1] <= m.start():
-            taken.pop(0)
-        if not taken or m.end() <= taken[0][0]:
-            yield m.span()
+    at = 0
+    for begin, end in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+        for m in CANDIDATE.finditer(text, at, max(at, begin)):
+            # Dots inside are part of a string, those behind it end a sentence.
+            value = m[0].rstrip(".")
+            if len(value) >= ASSIGNED:
+                yield m.start(), m.start() + len(value)
+        at = max(at, end)
 
 
 def remembered(score: Callable[[str], float]) -> Callable[[str], float]:
@@ -100,7 +102,7 @@ class Automaton:
         self.states = [State()]
         for value in values:
             at = 0
-            for symbol in value:
+            for symbol in value[:LONGEST]:
                 state = self.states[at]
                 state.passed += 1
                 state.went[symbol] = state.went.get(symbol, 0) + 1
@@ -109,7 +111,7 @@ class Automaton:
                     self.states.append(State())
                 at = state.to[symbol]
             self.states[at].passed += 1
-            self.states[at].ended += 1
+            self.states[at].ended += len(value) <= LONGEST
         self._merge()
 
     def _near(self, times_a: int, all_a: int, times_b: int, all_b: int) -> bool:
@@ -231,7 +233,6 @@ class Format:
     kind: str
     automaton: Automaton
     gains: list[float]
-    lengths: tuple[int, int]
 
     def gain(self, value: str, plain: float) -> float:
         """How much likelier the string is as a credential than as an ordinary one (``plain``), per symbol."""
@@ -240,19 +241,18 @@ class Format:
 
 @dataclass
 class Formats:
-    """Automata by kind with the score from which a string counts and the lengths they accept, and ordinary strings."""
+    """Automata with the score from which a string counts, and how likely ordinary strings are."""
 
-    automata: list[tuple[Automaton, float, tuple[int, int]]]
+    automata: list[tuple[Automaton, float]]
     ordinary: Ordinary
 
     def scored(self, value: str) -> float:
         """The greatest gain over an ordinary word, per symbol, among the formats that accept it; or minus infinity."""
         best, plain = -math.inf, self.ordinary.log_likelihood(value)
-        for automaton, least, (low, high) in self.automata:
-            if low <= len(value) <= high:
-                gain = (automaton.log_likelihood(value) - plain) / len(value)
-                if gain >= least:
-                    best = max(best, gain)
+        for automaton, least in self.automata:
+            gain = (automaton.log_likelihood(value) - plain) / len(value)
+            if gain >= least:
+                best = max(best, gain)
         return best
 
 
@@ -272,8 +272,7 @@ def learned(values: dict[str, list[str]], ordinary: Ordinary) -> list[Format]:
     for kind in sorted(values):
         own = sorted(set(values[kind]))
         if len(own) >= 5:
-            lengths = sorted(map(len, own))
-            one = Format(kind, Automaton([v for i, v in enumerate(own) if i % 4]), [], (max(16, lengths[0]), lengths[-1]))
+            one = Format(kind, Automaton([v for i, v in enumerate(own) if i % 4]), [])
             one.gains = sorted(one.gain(v, ordinary.log_likelihood(v)) for v in own[::4])
             found.append(one)
     return found
@@ -309,7 +308,7 @@ def limited(found: list[Format], ordinary: Ordinary, background: list[dict[int,
         least = max(one.gains[len(one.gains) // 100], false, 0.2)
         usual = one.gains[len(one.gains) // 2]
         if least <= usual:
-            formats.automata.append((one.automaton, least, one.lengths))
+            formats.automata.append((one.automaton, least))
         else:
             warnings.warn(
                 f"no format for {one.kind!r} credentials: half of them gain {usual:.2f} at most, {least:.2f} is asked for",
@@ -338,7 +337,7 @@ def labelled(docs: DataFrame) -> tuple[dict[str, list[str]], dict[str, int]]:
                 spans = base_spans(text)
                 for kind, start, end in spans:
                     value = ASSIGN.match(text[start:end])[2] if kind == "assign" else text[start:end]
-                    values.add((kind, value))
+                    values.add((kind, value[: LONGEST + 1]))
                 words.update(text[a:b] for a, b in others(text, spans))
             rows = [(k, v, 0) for k, v in values] + [("symbol", c, n) for c, n in symbol_counts(words).items()]
             columns = zip(*rows, strict=True) if rows else ((), (), ())
@@ -347,7 +346,7 @@ def labelled(docs: DataFrame) -> tuple[dict[str, list[str]], dict[str, int]]:
             yield pa.RecordBatch.from_arrays(arrays, names=["kind", "value", "times"])
 
     found = docs.select(F.col("text").cast("string").alias("text"))
-    found = found.mapInArrow(run, "kind string, value string, times bigint").where(F.length("value") <= LONGEST)
+    found = found.mapInArrow(run, "kind string, value string, times bigint")
     found = written(found.groupBy("kind", "value").agg(F.sum("times").alias("times")), "credentials")
     out: dict[str, list[str]] = {}
     for kind in KINDS[:3]:

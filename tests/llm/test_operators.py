@@ -144,6 +144,19 @@ def test_secret_spans_of_odd_rows(documents):
     assert credentials.secrets(documents([])).count() == 0
 
 
+def test_formats_find_short_dotted_and_long_strings(documents):
+    rng = random.Random(4)
+    new = lambda n: "".join(rng.choices("bcdfghkmpqrvwxz23456789", k=n))
+    prose = lambda: " ".join(rng.choice(["nothing", "another", "letters", "reasons", "station", "however"]) for _ in range(60))
+    rows = [(i, f"{prose()} token: {new(rng.randrange(8, 30))}.{new(rng.randrange(3, 30))} {prose()}") for i in range(60)]
+    hidden = {100: f"{new(4)}.{new(4)}", 101: f"{new(20)}.{new(30)}.{new(20)}", 102: f"{new(150)}.{new(150)}", 103: new(9)}
+    rows += [(i, f"{prose()} {value}. {prose()}") for i, value in hidden.items()] + [(200, prose())]
+    text = dict(rows)
+    for r in credentials.secrets(documents(rows)).collect():
+        found = [text[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "format"]
+        assert found == ([hidden[r.doc_id]] if r.doc_id in hidden else [])
+
+
 def test_lexicon_finds_disguised_words():
     bad = [f"some text with idiot and more {i}" for i in range(30)]
     good = [f"some text with nothing and more {i} trash can" for i in range(60)]
