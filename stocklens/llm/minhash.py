@@ -19,7 +19,7 @@ BANDS = 24
 # similarity of a link, 0.8, its probability is below one in a hundred million.
 LEAST_AGREEMENT = 0.55
 
-SKETCH = "doc_id bigint, n_shingles bigint, fingerprint binary, minima array<int>"
+SKETCH = "doc_id bigint, text_hash bigint, n_shingles bigint, fingerprint binary, minima array<int>"
 SET = "fingerprint binary, shingles array<bigint>"
 
 
@@ -65,14 +65,15 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(fingerprints(sets), pa.binary()),
                     lists(least.view(np.int32).ravel(), np.full(len(sets), number), pa.int32()),
                 ],
-                names=["doc_id", "n_shingles", "fingerprint", "minima"],
+                names=["doc_id", "text_hash", "n_shingles", "fingerprint", "minima"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, SKETCH)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -154,9 +155,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     and then all its rows are kept. Other columns of ``docs`` are ignored; an
     empty table gives no rows.
     """
+    rows = grouped(docs, width, similarity).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def text_hash(docs: DataFrame) -> Column:
+    """By which the rows of one doc_id are told apart."""
+    return F.xxhash64(docs["text"].isNull(), docs["text"])
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each group of near duplicates, as :func:`near_duplicates` links them, one row of ``docs``.
+
+    It is the one with the least doc_id, null after all others, then the least
+    hash of the text. Rows are kept or dropped by doc_id and text together, so
+    rows of one doc_id with other texts, and rows without one, are documents
+    like all others. Of rows without words those with equal doc_id and text stay once.
+    """
+    rows = grouped(docs, width, similarity)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    firsts = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("first"))
+    kept = firsts.select("first.doc_id", "first.text_hash")
+    kept = kept.union(rows.where("component IS NULL").select("doc_id", "text_hash").distinct())
+    kept = kept.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("of_doc")) & (text_hash(docs) == F.col("of_hash"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``component`` and ``component_id`` of each row.
+
+    ``component`` numbers the groups and is null for rows without shingles; see :func:`near_duplicates`.
+    """
     prepare(docs.sparkSession)
     percent = round(100 * similarity)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(docs).alias("text_hash"), "text")
     sketch = written(sketches(docs, width), "sketches")
     nodes = (
         sketch.where("n_shingles > 0")
@@ -203,8 +236,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         .select("fingerprint", "first_id", F.coalesce("component", "node").alias("component"))
     )
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_set = named.join(least, "component").select("fingerprint", "component_id", F.lit(True).alias("known"))
-    own = sketch.select("doc_id", "n_shingles", "fingerprint")
-    marked = own.where("n_shingles > 0").join(of_set, "fingerprint").select("doc_id", "n_shingles", "component_id")
-    alone = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return marked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_set = named.join(least, "component").select("fingerprint", "component", "component_id")
+    own = ["doc_id", "text_hash", "n_shingles"]
+    marked = sketch.where("n_shingles > 0").join(of_set, "fingerprint").select(*own, "component", "component_id")
+    none = F.lit(None).cast("bigint").alias("component")
+    return marked.union(sketch.where("n_shingles = 0").select(*own, none, F.col("doc_id").alias("component_id")))
