@@ -17,6 +17,7 @@ from stocklens.llm import (
     packing,
     pitman_yor,
     quality_rules,
+    simhash,
     toxicity,
 )
 from stocklens.llm.shared import prepare
@@ -253,3 +254,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 40 * n_words
     OR 100 * capitals > 50 * word_chars OR 100 * shouts > 50 * n_words) AS kept
 FROM judged"""
+
+
+@register
+def op11_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id", "n_shingles")
