@@ -13,8 +13,10 @@ from stocklens.llm import (
     decontaminate,
     fuzzy_lines,
     language,
+    lexical,
     minhash,
     packing,
+    phrases,
     pitman_yor,
     quality_rules,
     simhash,
@@ -261,3 +263,73 @@ def op11_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id", "n_shingles")
+
+
+@register
+def op12_shared_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op12_shared_lexical_search"] = """
+WITH found AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), terms AS (
+  SELECT kind, id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM found
+), sizes AS (SELECT id, count(*) AS n FROM terms WHERE kind = 'd' GROUP BY id
+), whole AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM sizes
+), times AS (SELECT id, term, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM times, whole GROUP BY term
+), parts AS (
+  SELECT t.id, t.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // l))) AS part
+  FROM times t JOIN sizes s ON s.id = t.id JOIN weights v ON v.term = t.term, whole
+), scores AS (
+  SELECT i.id AS item_id, p.id AS doc_id, CAST(sum(part) AS BIGINT) AS score
+  FROM (SELECT DISTINCT id, term FROM terms WHERE kind = 'b') i JOIN parts p ON p.term = i.term GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+@register
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLE["op13_phrase_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), places AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM words
+), counts AS (
+  SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM places, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m - 1 <= len(ws) GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang
+), candidates AS (SELECT *, string_split(phrase, ' ') AS ws FROM counts WHERE m >= 2 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.f) // (x.f + y.f) AS score
+  FROM candidates c JOIN (VALUES (1), (2), (3)) v(k) ON k < c.m
+  JOIN counts x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(c.ws[1 : k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(c.ws[k + 1 : c.m], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT c.lang, array_to_string(c.ws[i : i + m2 - 1], ' ') AS phrase, c.f
+  FROM candidates c, (VALUES (2), (3)) v(m2), generate_series(1, 3) AS u(i) WHERE m2 < c.m AND i + m2 - 1 <= c.m
+), covered AS (
+  SELECT DISTINCT t.lang, t.phrase FROM candidates t JOIN inside s ON s.lang = t.lang AND s.phrase = t.phrase
+  WHERE 100 * s.f >= 80 * t.f
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM covered)
+)
+SELECT k.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked k JOIN totals t ON t.lang = k.lang WHERE rank <= 2000"""
