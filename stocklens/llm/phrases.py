@@ -21,6 +21,9 @@ FILTER_BITS = 27
 # Phrases of two words by which the first threshold is set, as a multiple of those kept; further waves take more.
 FIRST_WAVE, WAVE_GROWTH = 2, 4
 
+# Bytes of text that a task works on at a time, one text at least.
+SLICE = 4 << 20
+
 PIECE_BREAKS = np.zeros(256, bool)
 PIECE_BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BREAKS = PIECE_BREAKS.copy()
@@ -54,6 +57,17 @@ class Words:
         self.left = last - np.arange(number)
         self.data = data
 
+    @classmethod
+    def of(cls, batches):
+        """The words of all batches, some texts at a time."""
+        for batch in batches:
+            ends = utf8(batch.column("text"))[1]
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+                yield cls(batch.slice(at, upto - at))
+                at = upto
+
     def mark(self, first: int, length: int, starts: np.ndarray) -> np.ndarray:
         """The mark of the ``length`` words from the ``first`` on (from zero) of the phrases at ``starts``."""
         out = self.word[starts + first].copy()
@@ -84,8 +98,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """``lang``, ``w1`` (hash), ``word`` and its occurrences ``a``."""
 
     def run(batches):
-        for batch in batches:
-            words = Words(batch)
+        for words in Words.of(batches):
             at, times = words.distinct(np.arange(len(words.word)), 1)
             lower = LOWER[words.data].tobytes()
             texts = [lower[i:j] for i, j in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
@@ -111,8 +124,7 @@ def count_phrases(docs: DataFrame, length: int, least: int, wanted, sent) -> Dat
     names = columns(length)
 
     def run(batches):
-        for batch in batches:
-            words = Words(batch)
+        for words in Words.of(batches):
             starts = np.flatnonzero(words.left >= length)
             at, times = words.distinct(starts[wanted(words, starts, sent.value)], length)
             yield pa.RecordBatch.from_arrays(

@@ -309,27 +309,27 @@ WITH pieces AS (
   FROM documents
 ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
 ), places AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM words
-), counts AS (
+), counts AS MATERIALIZED (
   SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase, count(*) AS f
   FROM places, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m - 1 <= len(ws) GROUP BY ALL
 ), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang
-), candidates AS (SELECT *, string_split(phrase, ' ') AS ws FROM counts WHERE m >= 2 AND f >= 30
+), candidates AS MATERIALIZED (
+  SELECT lang, m, phrase, f, string_split(phrase, ' ') AS ws FROM counts WHERE m >= 2 AND f >= 30
+), parts AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, k, array_to_string(ws[1 : k], ' ') AS first, array_to_string(ws[k + 1 : m], ' ') AS rest
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM candidates)
 ), cuts AS (
-  SELECT c.lang, c.m, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.f) // (x.f + y.f) AS score
-  FROM candidates c JOIN (VALUES (1), (2), (3)) v(k) ON k < c.m
-  JOIN counts x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(c.ws[1 : k], ' ')
-  JOIN counts y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(c.ws[k + 1 : c.m], ' ')
+  SELECT p.lang, p.phrase, a, k, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS score
+  FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = first JOIN counts y ON y.lang = p.lang AND y.phrase = rest
 ), lowest AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
-), inside AS (
-  SELECT DISTINCT c.lang, array_to_string(c.ws[i : i + m2 - 1], ' ') AS phrase, c.f
-  FROM candidates c, (VALUES (2), (3)) v(m2), generate_series(1, 3) AS u(i) WHERE m2 < c.m AND i + m2 - 1 <= c.m
-), covered AS (
-  SELECT DISTINCT t.lang, t.phrase FROM candidates t JOIN inside s ON s.lang = t.lang AND s.phrase = t.phrase
-  WHERE 100 * s.f >= 80 * t.f
+), inside AS MATERIALIZED (
+  SELECT lang, array_to_string(ws[i : i + m2 - 1], ' ') AS phrase, max(f) AS f
+  FROM (SELECT *, unnest(generate_series(1, m - m2 + 1)) AS i FROM candidates, (VALUES (2), (3)) v(m2) WHERE m2 < m)
+  GROUP BY ALL
 ), ranked AS (
-  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
-  FROM lowest WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM covered)
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank, c.phrase, a, l, r, score
+  FROM lowest c LEFT JOIN inside s ON s.lang = c.lang AND s.phrase = c.phrase WHERE s.f IS NULL OR 100 * s.f < 80 * a
 )
 SELECT k.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
 FROM ranked k JOIN totals t ON t.lang = k.lang WHERE rank <= 2000"""
