@@ -53,19 +53,14 @@ def rows_where(df: DataFrame, kept: list[str], condition: Column, row: Column, p
     return made.where(F.col(present).isNotNull())
 
 
-def typed_changes(rows: DataFrame, ingest_ms: Column | int | None = None) -> DataFrame:
-    """Typed change rows from the fields of a flat message.
-
-    ``version`` is the later of source and ingest time; ``ingest_ms=0`` gives
-    pure source order, ``None`` takes the clock. Rows without a positive key
-    are left out. Columns that are not message fields (such as ``seq``) are kept.
-    """
+def ingest_time(ingest_ms: Column | int | None) -> Column:
     if ingest_ms is None:
-        ingest_ms = F.unix_millis(F.current_timestamp())
-    elif isinstance(ingest_ms, int):
-        ingest_ms = F.lit(ingest_ms).cast("bigint")
-    kept = [c for c in rows.columns if c not in MESSAGE_FIELDS]
-    text = {name: F.col(name).cast("string") for name in MESSAGE_FIELDS}
+        return F.unix_millis(F.current_timestamp())
+    return F.lit(ingest_ms).cast("bigint") if isinstance(ingest_ms, int) else ingest_ms
+
+
+def change_row(text: dict[str, Column], ingest_ms: Column) -> tuple[Column, Column]:
+    """The key and the typed row of a message whose fields are given as text."""
     key = integer_or_zero(text["inventory_movement_id"])
     source_ms = integer_or_zero(text["__source_ts_ms"])
     row = F.struct(
@@ -81,6 +76,19 @@ def typed_changes(rows: DataFrame, ingest_ms: Column | int | None = None) -> Dat
         F.greatest(source_ms, ingest_ms).alias("version"),
         truth_flag(text["__deleted"]).alias("is_deleted"),
     )
+    return key, row
+
+
+def typed_changes(rows: DataFrame, ingest_ms: Column | int | None = None) -> DataFrame:
+    """Typed change rows from the fields of a flat message.
+
+    ``version`` is the later of source and ingest time; ``ingest_ms=0`` gives
+    pure source order, ``None`` takes the clock. Rows without a positive key
+    are left out. Columns that are not message fields (such as ``seq``) are kept.
+    """
+    kept = [c for c in rows.columns if c not in MESSAGE_FIELDS]
+    text = {name: F.col(name).cast("string") for name in MESSAGE_FIELDS}
+    key, row = change_row(text, ingest_time(ingest_ms))
     return rows_where(rows, kept, key > 0, row, "inventory_movement_id")
 
 
@@ -94,6 +102,15 @@ def parse_changes(messages: DataFrame, ingest_ms: Column | int | None = None) ->
     return typed_changes(rows, ingest_ms)
 
 
+def sorted_out(messages: DataFrame, ingest_ms: Column | int | None = None) -> DataFrame:
+    """Every message, parsed once: as a typed change, or without one and with its text in ``value``."""
+    kept = [c for c in messages.columns if c != "value"]
+    read = messages.select(*kept, "value", F.from_json("value", MESSAGE_SCHEMA).alias("m"))
+    key, row = change_row({name: F.col("m")[name] for name in MESSAGE_FIELDS}, ingest_time(ingest_ms))
+    rows = read.select(*kept, "value", F.inline_outer(F.when(key > 0, F.array(row))))
+    return rows.withColumn("value", F.when(F.col("inventory_movement_id").isNull(), F.col("value")))
+
+
 def unreadable_changes(messages: DataFrame) -> DataFrame:
     """The messages :func:`parse_changes` leaves out, as they arrived."""
     body = F.from_json("value", MESSAGE_SCHEMA)

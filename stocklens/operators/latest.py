@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Columns that say in which order messages arrived, as far as a source has them.
-ARRIVAL = ["seq", "file", "line"]
+ARRIVAL = ["seq", "file", "block", "part", "place"]
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -252,7 +252,7 @@ def stream_current_movements(spark, folder):
 @register
 def compacted_current_movements(spark, folder):
     path = loaded_stream(spark, folder)
-    movement_stream.compact(spark, path, upto_batch=0)
+    movement_stream.compact(spark, path)
     return movement_stream.read_current(spark, path)
 
 
@@ -448,7 +448,7 @@ def status_run(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
     stored = shop_tables(spark, folder)["customer_orders"]
     path = fresh_dir(spark, "status")
     commands = status_command_stream(spark, folder)
-    status_stream.run_status_stream(commands, stored, path, f"{path}/checkpoint", AS_OF).awaitTermination()
+    status_stream.run_status_stream(commands, path, f"{path}/checkpoint", AS_OF).awaitTermination()
     return stored, path
 
 
@@ -460,7 +460,7 @@ def stream_status_orders(spark, folder):
 
 @register
 def stream_status_events(spark, folder):
-    return status_stream.read_events(spark, status_run(spark, folder)[1]).drop("batch", "order_status_event_id")
+    return status_stream.read_events(*status_run(spark, folder)).drop("order_status_event_id")
 
 
 # --- data quality -----------------------------------------------------------

@@ -1,12 +1,15 @@
 import json
 import os
+import shutil
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from stocklens.operators.latest import current_rows
-from stocklens.sources.changes import read_change_files, read_change_topic, stream_parquet
-from stocklens.streaming import movements, status
-from stocklens.streaming.batches import write_batch
+from stocklens.schemas import TABLES
+from stocklens.sources.changes import natural_order, read_change_files, read_change_topic, stream_parquet
+from stocklens.streaming import log, movements, status
 from test_changes import message, state
 from test_orders import AS_OF, COMMANDS, commands, stored
 
@@ -66,13 +69,52 @@ def test_equal_versions_go_by_file(spark, place):
     assert state(load(spark, place)) == [(1, "receipt", "2.000")]
 
 
-def test_a_repeated_batch_replaces_itself(spark, place):
-    place(message(1), message(2))
+def test_a_stopped_batch_is_seen_once_and_whole(spark, place, tmp_path):
+    """The second batch writes one of its two files and dies; its readers see the state before, then the one after."""
+    place(message(1, ts=1), "no json")
     load(spark, place)
-    before = movements.read_versions(spark, place.table).collect()
-    again = spark.createDataFrame(before, movements.CHANGES)
-    write_batch(again, f"{place.table}/changes", 0)
-    assert movements.read_versions(spark, place.table).count() == 2
+    place(message(1, quantity="2.000", ts=2), message(2, ts=2))
+    place("still no json", message(3, ts=2))
+    broken = tmp_path / "broken"
+    broken.write_text("x")
+
+    @F.udf("string")
+    def dies(value):
+        if value == "still no json" and os.path.exists(broken):
+            time.sleep(2)
+            raise RuntimeError("lost")
+        return value
+
+    def start():
+        stream = read_change_files(spark, place.folder).withColumn("value", dies("value"))
+        movements.load_changes(stream, place.table, place.checkpoint, 0).awaitTermination()
+
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # a task for each file
+    try:
+        with pytest.raises(Exception, match="lost"):
+            start()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    # A driver that is killed leaves the files of finished tasks behind; no batch names them.
+    part = next(n for n in os.listdir(f"{place.table}/log") if n.endswith(".parquet"))
+    shutil.copy(f"{place.table}/log/{part}", f"{place.table}/log/part-00009-left-behind.parquet")
+    assert state(movements.read_current(spark, place.table)) == [(1, "receipt", "1.000")]
+    assert [r.value for r in movements.read_rejected(spark, place.table).collect()] == ["no json"]
+    broken.unlink()
+    start()
+    after = [(1, "receipt", "2.000"), (2, "receipt", "1.000"), (3, "receipt", "1.000")]
+    assert state(movements.read_current(spark, place.table)) == after
+    assert movements.loaded_changes(spark, place.table).count() == 4
+    assert sorted(r.value for r in movements.read_rejected(spark, place.table).collect()) == ["no json", "still no json"]
+
+
+def test_a_first_batch_that_dies_leaves_nothing(spark, place):
+    place(message(1))
+    stream = read_change_files(spark, place.folder).withColumn("value", F.expr("raise_error(value)"))
+    with pytest.raises(Exception, match="inventory_movement_id"):
+        movements.load_changes(stream, place.table, place.checkpoint, 0).awaitTermination()
+    assert movements.read_current(spark, place.table).count() == 0
+    assert state(load(spark, place)) == [(1, "receipt", "1.000")]
 
 
 def test_compaction_keeps_delete_marks(spark, place):
@@ -80,16 +122,49 @@ def test_compaction_keeps_delete_marks(spark, place):
     load(spark, place)
     place(message(1, op="d", ts=9, deleted="true"))
     load(spark, place)
-    assert movements.compact(spark, place.table, upto_batch=1) == 1
-    assert movements.compact(spark, place.table, upto_batch=1) == 1
-    assert movements.read_versions(spark, place.table).count() == 2
+    assert movements.compact(spark, place.table) == 1
+    assert movements.compact(spark, place.table) == 1
+    assert spark.read.parquet(f"{place.table}/base/v1").count() == 2
     assert state(movements.read_current(spark, place.table)) == [(2, "receipt", "4.000")]
     place(message(1, ts=5), message(3, ts=1))  # late for key 1
     assert state(load(spark, place)) == [(2, "receipt", "4.000"), (3, "receipt", "1.000")]
-    assert movements.compact(spark, place.table, upto_batch=2) == 2
+    assert movements.compact(spark, place.table) == 2
     assert state(movements.read_current(spark, place.table)) == [(2, "receipt", "4.000"), (3, "receipt", "1.000")]
 
 
+def test_a_compacted_log_reads_only_what_came_later(spark, place, monkeypatch):
+    monkeypatch.setattr(log, "OVERLAP_MS", 0)
+    place(message(1, ts=1), message(1, quantity="2.000", ts=2))
+    load(spark, place)
+    movements.compact(spark, place.table)
+    place(message(2, ts=3))
+    load(spark, place)
+    assert movements.read_versions(spark, place.table).count() == 2
+    assert state(movements.read_current(spark, place.table)) == [(1, "receipt", "2.000"), (2, "receipt", "1.000")]
+
+
+def test_lines_of_many_splits_keep_their_order(spark, place):
+    """Every split holds a line or two of a key's changes, the last of which has to win, also for equal versions."""
+    lines = [message(n % 7 + 1, quantity=f"{n}.000", op="c") for n in range(400)] + ["bad"]
+    place(*lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = state(load(spark, place, ingest_ms=10**15))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    changes = movements.loaded_changes(spark, place.table)
+    assert changes.select("block").distinct().count() > 50
+    assert found == [(k, "receipt", f"{max(n for n in range(400) if n % 7 + 1 == k)}.000") for k in range(1, 8)]
+    order = [F.col(c) for c in ("seq", "file", "block", "part", "place")]
+    assert [int(r.quantity) for r in changes.orderBy(*order).collect()] == list(range(400))
+
+
+def test_paths_sort_by_their_numbers(spark):
+    paths = ["in/9.json", "in/10.json", "b/part-2/x", "b/part-11/x", "in/123456789012345678901234.txt", "in/7"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").orderBy(natural_order(F.col("path")))
+    assert [r.path for r in df.collect()] == [paths[i] for i in (2, 3, 5, 0, 1, 4)]
+
+
 def test_nothing_loaded_yet(spark, tmp_path):
     assert movements.read_current(spark, str(tmp_path / "none")).count() == 0
     assert current_rows(movements.read_versions(spark, str(tmp_path / "none"))).columns[0] == "inventory_movement_id"
@@ -100,47 +175,88 @@ def test_kafka_source_is_named_in_the_error(spark):
         read_change_topic(spark, {"subscribe": "t", "kafka.bootstrap.servers": "none:1"})
 
 
-def run(spark, path, batches, log_only=False):
-    """Feed command batches one file at a time."""
+def feed(spark, path, batches, first=0):
+    """Command batches, one file each."""
     os.makedirs(f"{path}/in", exist_ok=True)
     schema = commands(spark).schema
-    for number, batch in enumerate(batches):
+    for number, batch in enumerate(batches, first):
         with open(f"{path}/in/{number}.json", "w") as out:
             out.writelines(json.dumps(dict(zip(schema.names, c))) + "\n" for c in batch)
         os.utime(f"{path}/in/{number}.json", (1_700_000_000 + number, 1_700_000_000 + number))
+
+
+def run(spark, path, log_only=False):
+    schema = commands(spark).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
-    status.run_status_stream(source, stored(spark), path, f"{path}/c", AS_OF, log_only=log_only).awaitTermination()
+    query = status.run_status_stream(source, path, f"{path}/c", AS_OF, log_only=log_only)
+    query.awaitTermination()
+    return query
+
+
+EVENTS = [
+    (1, "new", "picking"),
+    (2, "picking", "confirmed"),
+    (1, "picking", "confirmed"),
+    (1, "confirmed", "delivered"),
+    (2, "confirmed", "cancelled"),
+]
 
 
 def test_status_stream_equals_one_batch(spark, tmp_path, rows):
     path = str(tmp_path)
-    run(spark, path, [COMMANDS[:2], COMMANDS[2:5], COMMANDS[5:]])
-    assert rows(status.current_orders(stored(spark), path), "customer_order_id", "status") == [
-        (1, "delivered"),
-        (2, "cancelled"),
-        (3, "new"),
-    ]
-    assert rows(status.read_events(spark, path), "customer_order_id", "old_status", "new_status") == sorted(
-        [
-            (1, "new", "picking"),
-            (2, "picking", "confirmed"),
-            (1, "picking", "confirmed"),
-            (1, "confirmed", "delivered"),
-            (2, "confirmed", "cancelled"),
-        ],
-        key=repr,
+    feed(spark, path, [COMMANDS[:2], COMMANDS[2:5], COMMANDS[5:]])
+    run(spark, path)
+    orders = stored(spark)
+    after = [(1, "delivered"), (2, "cancelled"), (3, "new")]
+    assert rows(status.current_orders(orders, path), "customer_order_id", "status") == after
+    found = status.read_events(orders, path)
+    assert rows(found, "customer_order_id", "old_status", "new_status") == sorted(EVENTS, key=repr)
+    assert found.columns == [part.split()[0] for part in TABLES["order_status_events"].split(", ")]
+    notes = [r.note_text for r in status.read_notes(orders, path).collect()]
+    assert len(notes) == 5 and "Status changed from new to picking by orders-api workload" in notes
+    status.compact_steps(spark, path)
+    assert spark.read.parquet(f"{path}/base/v1").count() == status.last_steps(spark, path).count()
+    assert rows(status.current_orders(orders, path), "customer_order_id", "status") == after
+
+
+def test_a_status_stream_goes_on_from_its_state(spark, tmp_path, rows):
+    path = str(tmp_path)
+    feed(spark, path, [COMMANDS[:2]])
+    run(spark, path)
+    feed(spark, path, [COMMANDS[2:5], COMMANDS[5:]], first=1)
+    run(spark, path)
+    assert rows(status.read_events(stored(spark), path), "customer_order_id", "old_status", "new_status") == sorted(
+        EVENTS, key=repr
     )
-    assert status.read_notes(spark, path).count() == 5
-    status.compact_states(spark, path, upto_batch=2)
-    assert status.written_states(spark, path).count() == 2
-    assert rows(status.current_orders(stored(spark), path), "status") == [("cancelled",), ("delivered",), ("new",)]
+    before = status.written_steps(spark, path).count()
+    run(spark, path)  # nothing new
+    assert status.written_steps(spark, path).count() == before
+
+
+def test_a_batch_costs_its_own_commands_only(spark, tmp_path):
+    """Twenty batches of forty commands: none reads more rows or touches more states than the first."""
+    path = str(tmp_path)
+    feed(spark, path, [[(n % 10 + 1, "confirmed", 40 * b + n) for n in range(40)] for b in range(20)])
+    query = run(spark, path)
+    progress = [p for p in query.recentProgress if p.numInputRows]
+    assert len(progress) == 20
+    assert {p.numInputRows for p in progress} == {40}
+    assert {p.stateOperators[0].numRowsUpdated for p in progress} == {10}
+    assert {p.stateOperators[0].numRowsTotal for p in progress} == {10}
+    steps = status.written_steps(spark, path).where("customer_order_id = 3").orderBy("step").collect()
+    assert [(r.step, r.seq) for r in steps] == list(enumerate(range(2, 800, 10), 1))
 
 
 def test_log_only_stream(spark, tmp_path, rows):
     path = str(tmp_path)
-    run(spark, path, [COMMANDS], log_only=True)
-    assert rows(status.current_orders(stored(spark), path), "status") == [("new",), ("new",), ("picking",)]
-    assert {r.event_source for r in status.read_events(spark, path).collect()} == {"k6-log-stream"}
+    feed(spark, path, [COMMANDS])
+    run(spark, path, log_only=True)
+    orders = stored(spark)
+    assert rows(status.current_orders(orders, path), "status") == [("new",), ("new",), ("picking",)]
+    found = status.read_events(orders, path).collect()
+    assert {r.event_source for r in found} == {"k6-log-stream"} and len(found) == 5
+    assert {(r.customer_order_id, r.old_status) for r in found} == {(1, "new"), (2, "picking")}
+    assert status.read_notes(orders, path).count() == 0
 
 
 def test_changes_of_one_key_in_one_file_go_by_line(spark, place):
