@@ -261,6 +261,27 @@ for _name in [
     "compacted_current_movements",
 ]:
     add(_name, f"SELECT {CURRENT_COLUMNS} FROM current_movements")
+DELIVERED = """
+deliveries AS (
+  SELECT *, seq % 4 AS delivery FROM changes UNION ALL SELECT *, 4 FROM changes WHERE seq % 10 = 3
+)"""
+add(
+    "delivered_current_movements",
+    f"""SELECT {CURRENT_COLUMNS}
+FROM (SELECT * REPLACE (greatest(version, half) AS version),
+        row_number() OVER (PARTITION BY inventory_movement_id
+          ORDER BY greatest(version, half) DESC, delivery DESC, seq DESC) AS newest
+      FROM deliveries, (SELECT max(event_id) // 2 AS half FROM events) WHERE seq % 50 NOT IN (7, 8, 9))
+WHERE newest = 1 AND is_deleted = 0""",
+    extra=DELIVERED,
+)
+add(
+    "delivered_rejects",
+    """SELECT CASE seq % 50 WHEN 7 THEN 'no message ' || seq WHEN 8 THEN '{"__op": "u", "__source_ts_ms": ' || seq || '}'
+  ELSE '{"inventory_movement_id": "x' || seq || '"}' END AS value, count(*) AS times
+FROM deliveries WHERE seq % 50 IN (7, 8, 9) GROUP BY 1""",
+    extra=DELIVERED,
+)
 add(
     "snapshot_then_changes",
     f"""SELECT {CURRENT_COLUMNS} FROM (

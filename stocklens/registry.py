@@ -25,12 +25,14 @@ from stocklens.plans.turnover import turnover
 from stocklens.schemas import ORDER_STATUSES
 from stocklens.session import configure, fresh_dir
 from stocklens.sinks.versioned import export_csv
-from stocklens.sources.changes import snapshot_as_changes
+from stocklens.sources.changes import read_change_files, snapshot_as_changes
 from stocklens.sources.shop import (
     base,
     change_message_stream,
     change_messages,
     change_table,
+    deliver,
+    delivered_messages,
     movement_changes,
     shop_tables,
     status_command_stream,
@@ -256,6 +258,29 @@ def compacted_current_movements(spark, folder):
     return movement_stream.read_current(spark, path)
 
 
+def delivered(spark: SparkSession, folder: str) -> str:
+    """The change scenario, loaded file by file; half of the versions are raised to one ingest time."""
+    path = fresh_dir(spark, "scenario")
+    events = base(spark, folder, "events")
+    deliver(delivered_messages(events), f"{path}/in")
+    ingest_ms = (events.agg(F.max("event_id")).first()[0] or 0) // 2
+    stream = read_change_files(spark, f"{path}/in/*", files_per_batch=1)
+    movement_stream.load_changes(stream, path, f"{path}/checkpoint", ingest_ms).awaitTermination()
+    return path
+
+
+@register
+def delivered_current_movements(spark, folder):
+    return movement_stream.read_current(spark, delivered(spark, folder))
+
+
+@register
+def delivered_rejects(spark, folder):
+    return movement_stream.read_rejected(spark, delivered(spark, folder)).groupBy("value").agg(
+        F.count(F.lit(1)).alias("times")
+    )
+
+
 @register
 def kpi_total_quantity(spark, folder):
     return dashboards.total_quantity(current(spark, folder), START, END)

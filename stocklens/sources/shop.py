@@ -272,3 +272,32 @@ def change_message_stream(spark: SparkSession, folder: str) -> DataFrame:
 def status_command_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = base(spark, folder, "events").schema
     return status_commands(stream_parquet(spark, folder, "events.parquet", schema))
+
+
+# Deliveries of the change scenario; messages of one source time are spread over them, so many come late.
+DELIVERIES = 4
+
+
+def delivered_messages(events: DataFrame) -> DataFrame:
+    """Change messages as a bad link brings them: ``delivery``, ``key``, ``seq``, ``value``.
+
+    The deliveries do not follow the source time. Some messages come a second
+    time in the last one; some are no JSON, some have no key or none that can be read.
+    """
+    rows = to_messages(movement_changes(events).withColumn("key", F.col("inventory_movement_id")), keep=["seq", "key"])
+    spoilt = (
+        F.when(F.expr("seq % 50 = 7"), F.concat(F.lit("no message "), F.col("seq")))
+        .when(F.expr("seq % 50 = 8"), F.concat(F.lit('{"__op": "u", "__source_ts_ms": '), F.col("seq"), F.lit("}")))
+        .when(F.expr("seq % 50 = 9"), F.concat(F.lit('{"inventory_movement_id": "x'), F.col("seq"), F.lit('"}')))
+        .otherwise(F.col("value"))
+    )
+    first = rows.select(F.expr("seq % 4").cast("int").alias("delivery"), "key", "seq", spoilt.alias("value"))
+    again = first.where("seq % 10 = 3").withColumn("delivery", F.lit(DELIVERIES))
+    return first.unionByName(again)
+
+
+def deliver(messages: DataFrame, path: str) -> None:
+    """The deliveries as text files, one after the other; a key's messages of one delivery are in one file, by ``seq``."""
+    for number in range(DELIVERIES + 1):
+        part = messages.where(F.col("delivery") == number).repartition("key").sortWithinPartitions("key", "seq")
+        part.select("value").write.text(f"{path}/{number}")
