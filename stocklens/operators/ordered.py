@@ -119,42 +119,73 @@ def previous_value(
     return joined.select(*df.columns, before.alias(name))
 
 
-def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probabilities: dict[str, float], width: float = 1.0
-) -> DataFrame:
+# Steps into which a range of values is cut at a time, and how often a range that holds a wanted place is cut again.
+STEPS = 4096
+CUTS = 3
+
+
+def places_of(total: Column, probabilities: dict[str, float]) -> dict[str, Column]:
+    return {name: (total - 1) * F.lit(p) for name, p in probabilities.items()}
+
+
+def in_ranges(counts: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    inside = (F.col("_value") >= F.col("_least")) & (F.col("_value") <= F.col("_most"))
+    if not by:  # a few rows: no more than twice the number of quantiles
+        return counts.join(F.broadcast(ranges), inside)
+    keys = [F.col(name).alias(f"_range_{name}") for name in by]
+    same = [F.col(name).eqNullSafe(F.col(f"_range_{name}")) for name in by]
+    others = [c for c in ranges.columns if c not in by]
+    return counts.join(ranges.select(*keys, *others), [*same, inside]).drop(*[f"_range_{name}" for name in by])
+
+
+def wanted_ranges(counts: DataFrame, by: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """The small ranges of values (``_least`` … ``_most``) of each group that hold the wanted places.
+
+    ``counts`` has distinct values (``_value``) with their numbers (``_n``).
+    The range of all values is cut into equal steps; a step that holds a
+    wanted place becomes a range of its own, from its least to its greatest
+    value, and is cut again. However the values lie, few of them are left in
+    the end. ``_before`` is how many rows of the group come before the range.
+    """
+    ranges = counts.groupBy(*by).agg(
+        F.min("_value").alias("_least"), F.max("_value").alias("_most"), F.sum("_n").alias("_total")
+    )
+    ranges = ranges.withColumn("_before", F.lit(0).cast("bigint")).where("_total > 0")
+    for _ in range(CUTS):
+        part = F.try_divide(F.col("_value") - F.col("_least"), F.col("_most") - F.col("_least")).cast("double")
+        step = F.coalesce(F.floor(part * STEPS), F.lit(0)).alias("_step")
+        steps = (
+            in_ranges(counts, ranges, by)
+            .groupBy(*by, F.col("_least").alias("_of"), "_before", "_total", step)
+            .agg(F.min("_value").alias("_least"), F.max("_value").alias("_most"), F.sum("_n").alias("_in_step"))
+        )
+        along = Window.partitionBy(*by, "_of").orderBy("_step")
+        steps = steps.withColumn("_end", F.col("_before") + F.sum("_in_step").over(along))
+        begin = F.col("_end") - F.col("_in_step")
+        places = [f(p).cast("bigint") for p in places_of(F.col("_total"), probabilities).values() for f in (F.floor, F.ceil)]
+        held = F.exists(F.array(*places), lambda k: (k >= begin) & (k < F.col("_end")))
+        ranges = steps.where(held).select(*by, "_least", "_most", "_total", begin.alias("_before"))
+    return ranges
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact quantiles per group, linearly interpolated between neighbours.
 
     ``probabilities`` maps output names to fractions. Values are first reduced
-    to distinct ones with their counts; a histogram of ``width``-wide steps
-    finds the steps that hold the wanted positions, and only those are sorted.
-    No group is gathered whole.
+    to distinct ones with their counts. :func:`wanted_ranges` finds the few
+    that lie around the wanted places, and only those are sorted. No group
+    and no step is gathered whole.
     """
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*by, "_value", "_n", F.floor(F.col("_value") / F.lit(width)).alias("_step"))
+        df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
     )
-    steps = counts.groupBy(*by, "_step").agg(F.sum("_n").alias("_in_step"))
-    along = Window.partitionBy(*by).orderBy("_step")
-    whole = Window.partitionBy(*by)
-    steps = steps.withColumn("_end", F.sum("_in_step").over(along)).withColumn(
-        "_total", F.sum("_in_step").over(whole)
-    )
-    position = {name: (F.col("_total") - 1) * F.lit(p) for name, p in probabilities.items()}
-    edges = F.array_distinct(
-        F.array(*[f(p).cast("bigint") for p in position.values() for f in (F.floor, F.ceil)])
-    )
-    start = F.col("_end") - F.col("_in_step")
-    wanted = steps.where(F.exists(edges, lambda k: (k >= start) & (k < F.col("_end"))))
-    wanted = wanted.select(*by, "_step", start.alias("_start"), "_total")
-
-    inner = Window.partitionBy(*by, "_step").orderBy("_value")
+    along = Window.partitionBy(*by, "_least").orderBy("_value")
     ranked = (
-        counts.join(wanted, [*by, "_step"])
-        .withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
+        in_ranges(counts, wanted_ranges(counts, by, probabilities), by)
+        .withColumn("_end", F.col("_before") + F.sum("_n").over(along))
         .withColumn("_begin", F.col("_end") - F.col("_n"))
     )
+    position = places_of(F.col("_total"), probabilities)
 
     def at(k: Column) -> Column:
         return F.max(F.when((k >= F.col("_begin")) & (k < F.col("_end")), F.col("_value")))

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stocklens.operators import ordered
 from stocklens.operators.ordered import (
     assign_by_bounds,
     assign_cyclic,
@@ -64,14 +65,16 @@ def test_previous_value_with_start(spark, rows):
     assert rows(found, "k", "o", "p") == [(1, 1, "s"), (1, 9, "a")]
 
 
-@pytest.mark.parametrize("width", [0.01, 1.0, 1000.0])
-def test_quantiles(spark, width):
+@pytest.mark.parametrize(("steps", "cuts"), [(2, 1), (3, 4), (4096, 3)])
+def test_quantiles(spark, monkeypatch, steps, cuts):
+    monkeypatch.setattr(ordered, "STEPS", steps)
+    monkeypatch.setattr(ordered, "CUTS", cuts)
     random = numpy.random.default_rng(3)
     values = {"one": [4.25], "two": [1.0, 2.0], "many": random.exponential(40, 997).round(6).tolist()}
     values["hot"] = [5.0] * 600 + random.uniform(0, 90, 300).round(3).tolist()
     df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("one", None)], "g STRING, v DOUBLE")
     fractions = {"low": 0.0, "med": 0.5, "p90": 0.9, "p95": 0.95, "high": 1.0}
-    for row in exact_quantiles(df, ["g"], "v", fractions, width).collect():
+    for row in exact_quantiles(df, ["g"], "v", fractions).collect():
         for name, p in fractions.items():
             assert row[name] == pytest.approx(numpy.quantile(values[row.g], p), abs=1e-9), (row.g, name)
 
@@ -81,6 +84,20 @@ def test_quantiles_without_groups(spark):
     assert exact_quantiles(df, [], "v", {"med": 0.5, "p95": 0.95}).first() == (51.0, 96.0)
 
 
+def test_many_values_in_one_millisecond(spark):
+    """A million distinct values within one, and an outlier: hardly any are left around the wanted places."""
+    values = F.when(F.col("id") == 0, 1e9).otherwise(F.col("id") / 1e6)
+    df = spark.range(0, 1_000_001, 1, 8).select(values.alias("v"), F.lit("hot").alias("g"))
+    counts = df.groupBy("g", F.col("v").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = ordered.wanted_ranges(counts, ["g"], {"med": 0.5, "p90": 0.9})
+    left = ordered.in_ranges(counts, ranges, ["g"])
+    assert ranges.count() <= 4 and left.count() <= 20
+    row = exact_quantiles(df, ["g"], "v", {"med": 0.5, "p90": 0.9, "p95": 0.95}).first()
+    assert row[1:] == pytest.approx((0.500001, 0.900001, 0.950001), abs=1e-9)
+    # No operator after the first grouping depends on how many values share a millisecond.
+    assert exact_quantiles(df.where("false"), ["g"], "v", {"med": 0.5}).collect() == []
+
+
 def test_bounds(spark, rows):
     pool = spark.range(40, 43).toDF("id")
     df = spark.range(1, 6).toDF("n")
