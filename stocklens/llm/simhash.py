@@ -21,8 +21,9 @@ SEED = 42
 # Bytes of a text that are hashed and counted at a time, so that long texts take little more memory than their own.
 SLAB = 1 << 17
 BLANK = re.compile(rb"[ \t-\r]")
-# Members of a table's bucket up to which they are compared with each other; larger buckets are cut into cells.
-COMPARED = 16
+# Members of a table's bucket up to which they are compared with each other; larger buckets are cut into cells. A member
+# of a larger bucket is put into some 360 cells, so that below this number comparing costs less.
+COMPARED = 256
 
 PRINTS = "doc_id bigint, n_shingles bigint, fingerprint bigint"
 
@@ -125,10 +126,12 @@ def near_prints(prints: DataFrame, radius: int = RADIUS, compared: int = COMPARE
     shared = written(keys.join(sizes, ["table", "key"]), "buckets")
 
     few = shared.where(F.col("size") <= compared)
-    other = few.select("table", "key", F.col("fingerprint").alias("b"))
-    met = few.withColumnRenamed("fingerprint", "a").join(other, ["table", "key"])
+    one = few.select("table", "key", F.col("fingerprint").alias("a"))
+    other = few.select(F.col("table").alias("of_table"), F.col("key").alias("of_key"), F.col("fingerprint").alias("b"))
+    same = (F.col("table") == F.col("of_table")) & (F.col("key") == F.col("of_key"))
     unlike = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = met.where((F.col("a") < F.col("b")) & (unlike <= radius)).select("a", "b")
+    # Compared inside the join, which passes on nothing but links.
+    pairs = one.join(other, same & (F.col("a") < F.col("b")) & (unlike <= radius)).select("a", "b")
 
     everything = (1 << BITS) - 1
     hidden = []
