@@ -23,39 +23,48 @@ def sorted_chunks(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
     The rows are range-partitioned, sorted and written once to the shared
     folder, so the chunk borders stay the same however often they are read and
     whichever executor is lost. ``order_by`` should be unique: equal values
-    cannot be separated by a range border.
+    cannot be separated by a range border. :func:`forget` removes the sort
+    when nothing reads it any more.
     """
     path = fresh_dir(df.sparkSession, "sorted")
     row = F.monotonically_increasing_id()
     df.sort(*order_by).withColumn("_row", row).write.parquet(path)
     written = df.sparkSession.read.parquet(path)
-    return written.select(
+    rows = written.select(
         *df.columns,
         F.shiftright("_row", PLACE_BITS).alias("_chunk"),
         F.col("_row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("_place"),
     )
+    rows.stored_at = path
+    return rows
 
 
-def numbered(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> tuple[DataFrame, int]:
-    """The rows with dense ids ``start, start+1, …`` in ``order_by`` order, and how many there are."""
+def forget(rows: DataFrame) -> None:
+    """Remove the sort behind a result of :func:`sorted_chunks`, :func:`numbered` or :func:`assign_ids`."""
+    path = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(rows.stored_at)
+    path.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def assign_ids(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> DataFrame:
+    """Dense ids ``start, start+1, …`` in ``order_by`` order, as column ``name``.
+
+    Only the sort runs at once. Where its partitions begin is worked out when
+    the ids are read, from a table with one row per partition.
+    """
     rows = sorted_chunks(df, order_by)
-    # One number per sort partition comes to the driver: bounded by the
-    # partition count, not by the data.
-    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1))).orderBy("_chunk").collect()
-    firsts, used = [], 0
-    for chunk, size in sizes:
-        firsts.append(f"({chunk}L, {start + used}L)")
-        used += size
-    if not firsts:
-        return rows.select(*df.columns, F.lit(None).cast("bigint").alias(name)), 0
-    offsets = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(firsts)} AS offsets(_chunk, _first)")
+    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_chunk")) - F.col("_size")
+    offsets = sizes.select("_chunk", (before + start).alias("_first"))
     ids = (F.col("_first") + F.col("_place")).alias(name)
-    return rows.join(F.broadcast(offsets), "_chunk").select(*df.columns, ids), used
+    out = rows.join(F.broadcast(offsets), "_chunk").select(*df.columns, ids)
+    out.stored_at = rows.stored_at
+    return out
 
 
-def assign_ids(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> DataFrame:
-    """Dense ids ``start, start+1, …`` in ``order_by`` order, as column ``name``."""
-    return numbered(df, name, order_by, start)[0]
+def numbered(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> tuple[DataFrame, int]:
+    """:func:`assign_ids`, and how many rows there are."""
+    rows = assign_ids(df, name, order_by, start)
+    return rows, df.sparkSession.read.parquet(rows.stored_at).count()
 
 
 def next_id(df: DataFrame, id_col: str) -> int:

@@ -6,6 +6,7 @@ random, a ``seed``, so that a repeated run gives the same rows.
 
 from __future__ import annotations
 
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stocklens.functions.scalars import draw, instant, order_status
 from stocklens.operators.latest import latest_per_key
-from stocklens.operators.ordered import assign_ids, numbered, previous_value
+from stocklens.operators.ordered import assign_ids, forget, numbered, previous_value
 
 # Lines per created order, price range, address ranges, delivery window, note texts.
 LINES_PER_ORDER = 3
@@ -36,11 +37,61 @@ class CreatedOrders(NamedTuple):
     notes: DataFrame
 
 
-class StatusChanges(NamedTuple):
-    orders: DataFrame
-    events: DataFrame
-    notes: DataFrame
-    results: DataFrame
+class StatusChanges:
+    """Orders after status commands, with an event, a note and a result row per command.
+
+    Nothing runs before a part is asked for. The commands are numbered once,
+    when the first part with ids is asked for; :meth:`close` removes that sort
+    after the last use.
+    """
+
+    def __init__(self, orders: DataFrame, commands: DataFrame, now: Column, source: str, next_ids: tuple[int, int]):
+        self.stored, self.commands, self.now, self.source = orders, commands, now, source
+        self.first_event, self.first_note = next_ids
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return assign_ids(status_steps(self.stored, self.commands), "_n", ["seq"], start=0)
+
+    @property
+    def orders(self) -> DataFrame:
+        return with_last_status(self.stored, last_commands(self.commands), self.now)
+
+    @property
+    def events(self) -> DataFrame:
+        return self.steps.select(
+            (F.col("_n") + self.first_event).alias("order_status_event_id"),
+            "customer_order_id",
+            "old_status",
+            "new_status",
+            F.lit(self.source).alias("event_source"),
+            self.now.alias("created_at"),
+        )
+
+    @property
+    def notes(self) -> DataFrame:
+        return self.steps.select(
+            (F.col("_n") + self.first_note).alias("audit_note_id"),
+            "customer_order_id",
+            F.lit("status").alias("note_type"),
+            F.format_string(CHANGED_NOTE.format(source=self.source), "old_status", "new_status").alias("note_text"),
+            self.now.alias("created_at"),
+        )
+
+    @property
+    def results(self) -> DataFrame:
+        return self.steps.select(
+            "customer_order_id",
+            "old_status",
+            "new_status",
+            (F.col("_n") + self.first_event).alias("order_status_event_id"),
+            (F.col("_n") + self.first_note).alias("audit_note_id"),
+        )
+
+    def close(self) -> None:
+        if "steps" in self.__dict__:
+            forget(self.steps)
+            del self.steps
 
 
 def with_distinct_picks(df: DataFrame, seed: int, request: Column, size: int, name: str) -> DataFrame:
@@ -213,32 +264,7 @@ def apply_status_changes(
 
     ``next_ids`` are the first free event and note ids.
     """
-    now = instant(as_of)
-    first_event, first_note = next_ids
-    steps = assign_ids(status_steps(orders, commands), "_n", ["seq"], start=0)
-    events = steps.select(
-        (F.col("_n") + first_event).alias("order_status_event_id"),
-        "customer_order_id",
-        "old_status",
-        "new_status",
-        F.lit(source).alias("event_source"),
-        now.alias("created_at"),
-    )
-    notes = steps.select(
-        (F.col("_n") + first_note).alias("audit_note_id"),
-        "customer_order_id",
-        F.lit("status").alias("note_type"),
-        F.format_string(CHANGED_NOTE.format(source=source), "old_status", "new_status").alias("note_text"),
-        now.alias("created_at"),
-    )
-    results = steps.select(
-        "customer_order_id",
-        "old_status",
-        "new_status",
-        (F.col("_n") + first_event).alias("order_status_event_id"),
-        (F.col("_n") + first_note).alias("audit_note_id"),
-    )
-    return StatusChanges(with_last_status(orders, last_commands(commands), now), events, notes, results)
+    return StatusChanges(orders, commands, instant(as_of), source, next_ids)
 
 
 def drawn_orders(requests: DataFrame, orders: DataFrame, seed: int) -> DataFrame:

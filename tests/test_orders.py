@@ -1,4 +1,5 @@
 import collections
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,18 @@ def test_logging_leaves_the_orders_alone(spark, rows):
         (8, 1, "new", "delivered", "k6-log-stream"),
         (9, 2, "picking", "cancelled", "k6-log-stream"),
     ]
+
+
+def test_changed_orders_need_no_numbering(spark):
+    """Setting up starts no job; events, notes and results share one sort, which can be removed."""
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("set-up", "")
+    changes = apply_status_changes(stored(spark), commands(spark, *COMMANDS), AS_OF)
+    assert changes.orders.columns
+    assert list(tracker.getJobIdsForGroup("set-up")) == []
+    sort = changes.steps.stored_at
+    assert changes.events.count() == changes.notes.count() == changes.results.count() == 5
+    assert changes.steps.stored_at == sort and os.path.isdir(sort)
+    changes.close()
+    assert not os.path.exists(sort)
+    context.setLocalProperty("spark.jobGroup.id", None)
