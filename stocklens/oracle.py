@@ -204,6 +204,9 @@ add(
   SELECT * FROM (SELECT * REPLACE (CAST(revenue AS DECIMAL(18,2)) AS revenue) FROM daily) d {NEWEST})""",
     REVENUE,
 )
+ORACLE["revenue_from_periods"] = ORACLE["revenue_between"]
+ORACLE["revenue_after_refresh"] = ORACLE["revenue_stored"]
+ORACLE["turnover_from_periods"] = ORACLE["turnover_best_sellers"]
 add(
     "order_document_lines",
     f"""SELECT customer_order_id, customer_id, full_name, delivery_address, {stamp('o.created_at')} AS created_at,

@@ -24,6 +24,7 @@ from stocklens.plans.documents import order_documents, order_responses
 from stocklens.plans.turnover import turnover
 from stocklens.schemas import ORDER_STATUSES
 from stocklens.session import configure, fresh_dir
+from stocklens.sinks.periods import PERIOD, period_of, read_periods, within, write_periods
 from stocklens.sinks.versioned import export_csv
 from stocklens.sources.changes import read_change_files, snapshot_as_changes
 from stocklens.sources.shop import (
@@ -49,6 +50,7 @@ START = "1990-01-01T00:00:00Z"
 END = "2100-01-01T00:00:00Z"
 AS_OF = "2024-02-01T00:00:00Z"
 SEED = 7
+MOVES = "product_id BIGINT, warehouse_id BIGINT, movement_type STRING, quantity DECIMAL(14,3), moved_at TIMESTAMP"
 # Bounds inside the data, one of them not at midnight.
 ORDERS_FROM, ORDERS_TO = "1996-03-05T12:00:00Z", "1998-07-01T00:00:00Z"
 EVENTS_FROM, EVENTS_TO = "2024-01-20T06:00:00Z", "2024-01-30T00:00:00Z"
@@ -140,6 +142,49 @@ def revenue_by_day_stored(spark, folder):
     return revenue.stored_revenue_by_day(spark, path, START, END)
 
 
+def without_late_lines(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The order facts in two deliveries: the later lines of the orders of one spring come in the second one."""
+    tables = shop_tables(spark, folder)
+    spring = tables["customer_orders"].where("created_at >= '1997-03-01' AND created_at < '1997-06-01'")
+    lines, late = tables["customer_order_items"], F.col("customer_order_item_id") >= 3 * 10**12
+    second = lines.where(late).join(spring.select("customer_order_id"), "customer_order_id", "left_semi")
+    first = lines.join(second.select("customer_order_id", "customer_order_item_id"), ["customer_order_id", "customer_order_item_id"], "left_anti")
+    names = ["customer_orders", "customer_order_audit_notes"]
+    none = {name: tables[name].where("false") for name in names}
+    return {**{name: tables[name] for name in names}, "customer_order_items": first}, {**none, "customer_order_items": second}
+
+
+@register
+def revenue_from_periods(spark, folder):
+    path = fresh_dir(spark, "facts")
+    tables = shop_tables(spark, folder)
+    revenue.add_facts(spark, path, tables, "month")
+    catalog = tables["product_catalog"]
+    return revenue.revenue_from_periods(spark, path, catalog, ORDERS_FROM, ORDERS_TO, "month", limit=5000)
+
+
+@register
+def revenue_after_refresh(spark, folder):
+    """The daily aggregate, first of all lines but some, then refreshed for the months that the rest touches."""
+    path, catalog = fresh_dir(spark, "facts"), shop_tables(spark, folder)["product_catalog"]
+    for delivery in without_late_lines(spark, folder):
+        months = revenue.add_facts(spark, path, delivery, "month")
+        revenue.refresh_periods(spark, path, catalog, months, "month")
+    return revenue.stored_daily(spark, path).drop("period")
+
+
+@register
+def turnover_from_periods(spark, folder):
+    path = fresh_dir(spark, "moves")
+    tables = shop_tables(spark, folder)
+    moves = tables["inventory_movements"].withColumn(PERIOD, period_of(F.col("moved_at"), "month"))
+    write_periods(moves, path, ["warehouse_id", "product_id"])
+    stored = read_periods(spark, path, MOVES)
+    bounded = {name: tables[name] for name in ("warehouses", "product_catalog")}
+    bounded["inventory_movements"] = within(stored, ORDERS_FROM, ORDERS_TO, "month")
+    return turnover(bounded, ORDERS_FROM, ORDERS_TO, top_locations=10, min_quantity=40)
+
+
 @register
 def order_document_lines(spark, folder):
     documents = order_documents(shop_tables(spark, folder))
