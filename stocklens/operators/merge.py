@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stocklens.operators.ranking import BROADCAST_ROWS
-
 
 def single_rows(source: DataFrame, keys: list[str]) -> DataFrame:
     """``source`` unchanged, or an error at run time if a key comes twice."""
@@ -20,24 +18,17 @@ def single_rows(source: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, checked.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in fields])
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the rows, counted up to the limit, may be broadcast."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
 def upsert(
     target: DataFrame,
     source: DataFrame,
     keys: list[str],
     update: list[str] | None = None,
-    expect_few: bool = False,
 ) -> DataFrame:
     """Insert the source rows; where the key exists, overwrite the ``update`` columns.
 
     An overwriting NULL counts: presence of the source row decides, not the
-    value. A key that comes twice in the source is an error. With
-    ``expect_few`` the source is counted first and, if it is small, brought to
-    the target's tasks, so that the target is not shuffled.
+    value. A key that comes twice in the source is an error. A target in
+    buckets of the keys stays where it is; see ``sinks.bucketed``.
     """
     fields = [c for c in target.columns if c not in keys]
     given = [c for c in source.columns if c not in keys]
@@ -52,29 +43,18 @@ def upsert(
         overwrite = F.col("_new").isNotNull() if name in update else F.col("_old").isNull()
         return F.when(overwrite, after).otherwise(before).alias(name)
 
-    if expect_few and is_small(source):
-        new = F.broadcast(new)
-        known = old.join(new.select(*keys), keys, "left_semi").select(*keys)
-        added = new.join(known, keys, "left_anti").withColumn("_old", F.lit(None).cast(old.schema["_old"].dataType))
-        both = old.join(new, keys, "left").unionByName(added.select(*keys, "_old", "_new"))
-    else:
-        both = old.join(new, keys, "full")
+    both = old.join(new, keys, "full")
     columns = [F.col(c) if c in keys else merged(c) for c in target.columns]
     return both.select(*columns)
 
 
-def insert_missing(
-    target: DataFrame, source: DataFrame, keys: list[str], expect_few: bool = False, order: list[str] | None = None
-) -> DataFrame:
+def insert_missing(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Add the source rows whose key is absent; of equal source keys the first by ``order`` is kept.
 
     Rows equal in ``order``, or all if there is none, go by their other columns
-    as the target has them. ``expect_few`` as in :func:`upsert`.
+    as the target has them.
     """
-    known = target.select(*keys)
-    if expect_few and is_small(source):
-        known = known.join(F.broadcast(source.select(*keys).distinct()), keys, "left_semi")
-    absent = source.join(known, keys, "left_anti")
+    absent = source.join(target.select(*keys), keys, "left_anti")
     fields = [c for c in target.columns if c not in keys]
     if not fields:
         return target.unionByName(absent.select(*target.columns).distinct())

@@ -684,3 +684,6 @@ add(
     "sampled_products",
     f"SELECT * FROM products ORDER BY {draw(7, 'product_id')}, product_id LIMIT 100",
 )
+
+ORACLE["upsert_customers_bucketed"] = ORACLE["upsert_customers"]
+ORACLE["backfill_order_totals_bucketed"] = ORACLE["backfill_order_totals"]

@@ -24,6 +24,7 @@ from stocklens.plans.documents import order_documents, order_responses
 from stocklens.plans.turnover import turnover
 from stocklens.schemas import ORDER_STATUSES
 from stocklens.session import configure, fresh_dir
+from stocklens.sinks.bucketed import upsert_into, write_bucketed
 from stocklens.sinks.periods import PERIOD, period_of, read_periods, within, write_periods
 from stocklens.sinks.versioned import export_csv
 from stocklens.sources.changes import read_change_files, snapshot_as_changes
@@ -401,6 +402,23 @@ def upsert_customers(spark, folder):
     return upsert(customers, newcomers(spark, folder), ["customer_id"], ["balance"])
 
 
+@register
+def upsert_customers_bucketed(spark, folder):
+    """The merge into a table of eight buckets, read from the table it leaves."""
+    name = write_bucketed(shop_tables(spark, folder)["customers"], ["customer_id"], 8)
+    return spark.table(upsert_into(spark, name, newcomers(spark, folder), ["balance"]))
+
+
+@register
+def backfill_order_totals_bucketed(spark, folder):
+    tables = shop_tables(spark, folder)
+    stored = [
+        spark.table(write_bucketed(tables[name], ["customer_order_id"], 8))
+        for name in ("customer_orders", "customer_order_items")
+    ]
+    return backfill_totals(*stored)
+
+
 @register
 def insert_missing_customers(spark, folder):
     return insert_missing(shop_tables(spark, folder)["customers"], newcomers(spark, folder), ["customer_id"])

@@ -18,18 +18,6 @@ def test_upsert_overwrites_listed_columns_only(spark, rows):
     assert rows(upsert(target, source, ["k"])) == [(1, "x", 10), (2, "new", 99), (3, "z", 30)]
 
 
-def test_few_source_rows_leave_the_target_in_place(spark, rows):
-    target = spark.range(0, 2000, 1, 6).select(F.col("id").alias("k"), F.lit("x").alias("a"), F.col("id").alias("b"))
-    source = table(spark, (5, None, 50), (9000, "z", 30))
-    few, plain = upsert(target, source, ["k"], expect_few=True), upsert(target, source, ["k"])
-    assert rows(few) == rows(plain)
-    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
-    with pytest.raises(Exception, match="more than once"):
-        upsert(target, source.unionByName(source), ["k"], expect_few=True).collect()
-    twice = source.unionByName(source)
-    assert rows(insert_missing(target, twice, ["k"], expect_few=True)) == rows(insert_missing(target, twice, ["k"]))
-
-
 def test_upsert_with_null_overwrites(spark, rows):
     assert rows(upsert(table(spark, (1, "x", 10)), table(spark, (1, None, None)), ["k"])) == [(1, None, None)]
 
