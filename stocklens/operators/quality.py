@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stocklens import schemas
@@ -73,32 +74,62 @@ def reconcile(source: DataFrame, sink: DataFrame, key: str, columns: list[str])
     return both.select(key, verdict.alias("difference")).where("difference IS NOT NULL")
 
 
+def row_checks(df: DataFrame, table: str) -> list[tuple[str, str, Column]]:
+    """The declared checks that a row alone decides: kind, subject, and the number of rows that fail.
+
+    Columns that the table at hand does not have are not checked.
+    """
+    checks = []
+    for column in schemas.required_columns(table):
+        if column in df.columns:
+            checks.append(("not_null", column, F.count_if(F.col(column).isNull())))
+    for (of, column), allowed in schemas.DOMAINS.items():
+        if of == table and column in df.columns:
+            checks.append(("domain", column, F.count_if(F.col(column).isNotNull() & ~F.col(column).isin(allowed))))
+    return checks
+
+
+def watched(df: DataFrame, table: str) -> tuple[DataFrame, Callable[[], dict[tuple[str, str], int]]]:
+    """The rows as they are, and what their checks have counted once a job has read them.
+
+    The counts come with that job: no scan of their own. They are of the first
+    job that reads all rows; it has to have ended when they are asked for.
+    """
+    checks = row_checks(df, table)
+    seen = Observation()
+    rows = df.observe(seen, *[count.alias(f"{kind} {subject}") for kind, subject, count in checks])
+    return rows, lambda: {(kind, subject): seen.get[f"{kind} {subject}"] for kind, subject, _ in checks}
+
+
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every declared constraint that can be checked on the given tables, with its count."""
+    """Every declared constraint that can be checked on the given tables, with its count.
+
+    A table is read once for everything its rows decide alone, and once for
+    each of its keys and references.
+    """
     found: list[DataFrame] = []
+    shape = ["check_kind", "table_name", "subject", "violations"]
 
-    def add(kind: str, table: str, subject: Column, counted: DataFrame, rows: str) -> None:
-        found.append(
-            counted.select(
-                F.lit(kind).alias("check_kind"),
-                F.lit(table).alias("table_name"),
-                subject.alias("subject"),
-                F.coalesce(rows, F.lit(0)).cast("bigint").alias("violations"),
-            )
-        )
+    def add(kind: str, table: str, subject: str, counted: DataFrame) -> None:
+        rows = F.coalesce(F.col(counted.columns[0]), F.lit(0)).cast("bigint")
+        named = [F.lit(kind), F.lit(table), F.lit(subject), rows]
+        found.append(counted.select(*[c.alias(n) for c, n in zip(named, shape, strict=True)]))
 
     for table, df in tables.items():
         for keys in schemas.UNIQUE_KEYS[table]:
-            repeated = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("rows"))
-            add("unique", table, F.lit(",".join(keys)), repeated, "rows")
-        nulls = missing_values(df, schemas.required_columns(table))
-        add("not_null", table, F.col("column_name"), nulls, "null_rows")
-    for (table, column), allowed in schemas.DOMAINS.items():
-        if table in tables:
-            bad = outside_domain(tables[table], column, allowed).agg(F.sum("row_count").alias("rows"))
-            add("domain", table, F.lit(column), bad, "rows")
+            if set(keys) <= set(df.columns):
+                add("unique", table, ",".join(keys), duplicate_keys(df, keys).agg(F.count(F.lit(1))))
+        checks = row_checks(df, table)
+        if checks:
+            counted = df.agg(*[count.alias(f"c{i}") for i, (_, _, count) in enumerate(checks)])
+            named = [
+                F.struct(F.lit(kind).alias("check_kind"), F.lit(table).alias("table_name"), F.lit(subject).alias("subject"),
+                         F.col(f"c{i}").alias("violations"))
+                for i, (kind, subject, _) in enumerate(checks)
+            ]
+            found.append(counted.select(F.inline(F.array(*named))))
     for child, column, parent, parent_column in schemas.REFERENCES:
-        if child in tables and parent in tables:
+        if child in tables and parent in tables and column in tables[child].columns:
             bad = orphans(tables[child], column, tables[parent], parent_column)
-            add("reference", child, F.lit(column), bad.agg(F.sum("child_rows").alias("rows")), "rows")
+            add("reference", child, column, bad.agg(F.sum("child_rows")))
     return reduce(DataFrame.unionByName, found)

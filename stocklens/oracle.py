@@ -687,3 +687,84 @@ add(
 
 ORACLE["upsert_customers_bucketed"] = ORACLE["upsert_customers"]
 ORACLE["backfill_order_totals_bucketed"] = ORACLE["backfill_order_totals"]
+
+
+def failing(kind: str, table: str, subject: str, condition: str) -> str:
+    return f"""SELECT '{kind}' AS check_kind, '{table}' AS table_name, '{subject}' AS subject,
+  count(*) FILTER (WHERE {condition}) AS violations FROM {table}_now"""
+
+
+def repeated(table: str, keys: str) -> str:
+    return f"""SELECT 'unique', '{table}', '{keys}', count(*) FROM (SELECT 1 FROM {table}_now GROUP BY {keys} HAVING count(*) > 1)"""
+
+
+def unparented(table: str, column: str, parent: str, of: str) -> str:
+    return failing("reference", table, column, f"{column} IS NOT NULL AND {column} NOT IN (SELECT {of} FROM {parent}_now)")
+
+
+SPOILT = """
+customers_now AS (
+  SELECT customer_id, full_name FROM customers UNION ALL SELECT customer_id, NULL FROM customers WHERE customer_id % 50 = 0
+), warehouses_now AS (SELECT * FROM warehouses
+), products_now AS (SELECT product_id, product_name FROM products
+), customer_orders_now AS (
+  SELECT * REPLACE (
+    CASE customer_order_id % 100 WHEN 3 THEN 'lost' WHEN 4 THEN NULL ELSE status END AS status,
+    CASE WHEN customer_order_id % 200 = 5 THEN -customer_id ELSE customer_id END AS customer_id,
+    CASE WHEN customer_order_id % 150 <> 2 THEN created_at END AS created_at)
+  FROM customer_orders
+), customer_order_items_now AS (SELECT * FROM customer_order_items
+), inventory_movements_now AS (
+  SELECT * REPLACE (CASE WHEN product_id % 90 = 1 THEN 'moved' ELSE movement_type END AS movement_type)
+  FROM inventory_movements
+), customer_order_audit_notes_now AS (SELECT * FROM notes)"""
+_statuses = "('new','confirmed','picking','shipped','delivered','cancelled')"
+_checks = [
+    failing("domain", "customer_orders", "status", f"status NOT IN {_statuses}"),
+    failing("domain", "inventory_movements", "movement_type",
+            "movement_type NOT IN ('receipt','shipment','write_off','adjustment')"),
+]
+for _table, _columns in {
+    "customers": "customer_id full_name",
+    "warehouses": "warehouse_id warehouse_name city",
+    "products": "product_id product_name",
+    "customer_orders": "customer_order_id customer_id delivery_address created_at status",
+    "customer_order_items": "customer_order_item_id customer_order_id product_id ordered_quantity sale_price",
+    "inventory_movements": "product_id warehouse_id movement_type quantity moved_at",
+    "customer_order_audit_notes": "audit_note_id customer_order_id note_type note_text created_at",
+}.items():
+    _checks += [failing("not_null", _table, c, f"{c} IS NULL") for c in _columns.split()]
+_checks += [
+    repeated(*pair)
+    for pair in [
+        ("customers", "customer_id"),
+        ("warehouses", "warehouse_id"),
+        ("warehouses", "warehouse_name"),
+        ("products", "product_id"),
+        ("customer_orders", "customer_order_id"),
+        ("customer_order_items", "customer_order_item_id"),
+        ("customer_order_items", "customer_order_id,product_id"),
+        ("customer_order_audit_notes", "audit_note_id"),
+    ]
+]
+_checks += [
+    unparented("customer_orders", "customer_id", "customers", "customer_id"),
+    unparented("customer_order_items", "customer_order_id", "customer_orders", "customer_order_id"),
+    unparented("customer_order_items", "product_id", "products", "product_id"),
+    unparented("inventory_movements", "product_id", "products", "product_id"),
+    unparented("inventory_movements", "warehouse_id", "warehouses", "warehouse_id"),
+    unparented("customer_order_audit_notes", "customer_order_id", "customer_orders", "customer_order_id"),
+]
+add("constraint_violations", "\nUNION ALL ".join(_checks), SPOILT)
+add(
+    "wrong_backfilled_totals",
+    """SELECT * FROM (
+  SELECT o.customer_order_id,
+    CAST(coalesce(t.amount, 0) + CASE WHEN o.customer_order_id % 300 = 7 THEN 0.01 ELSE 0 END AS DOUBLE) AS total_amount,
+    CAST(coalesce(t.amount, 0) AS DOUBLE) AS line_amount,
+    coalesce(t.n, 0) - CASE WHEN o.customer_order_id % 500 = 8 THEN 1 ELSE 0 END AS items_count,
+    coalesce(t.n, 0) AS line_count
+  FROM customer_orders o LEFT JOIN totals t ON t.customer_order_id = o.customer_order_id)
+WHERE customer_order_id % 300 = 7 OR customer_order_id % 500 = 8""",
+    TOTALS,
+)

@@ -580,6 +580,48 @@ def unknown_statuses(spark, folder):
     return quality.outside_domain(commands, "status", ORDER_STATUSES)
 
 
+def spoilt(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The derived tables with some customers twice, and some values missing, unknown or without a parent."""
+    tables = shop_tables(spark, folder)
+    customers, stored, moves = (tables[n] for n in ("customers", "customer_orders", "inventory_movements"))
+    again = customers.where("customer_id % 50 = 0").withColumn("full_name", F.lit(None).cast("string"))
+    return {
+        "customers": customers.unionByName(again),
+        "warehouses": tables["warehouses"],
+        "products": tables["product_catalog"].select("product_id", "product_name"),
+        "customer_orders": stored.withColumns(
+            {
+                "status": F.expr("CASE customer_order_id % 100 WHEN 3 THEN 'lost' WHEN 4 THEN NULL ELSE status END"),
+                "customer_id": F.expr("CASE WHEN customer_order_id % 200 = 5 THEN -customer_id ELSE customer_id END"),
+                "created_at": F.expr("CASE WHEN customer_order_id % 150 <> 2 THEN created_at END"),
+            }
+        ),
+        "customer_order_items": tables["customer_order_items"],
+        "inventory_movements": moves.withColumn(
+            "movement_type", F.expr("CASE WHEN product_id % 90 = 1 THEN 'moved' ELSE movement_type END")
+        ),
+        "customer_order_audit_notes": tables["customer_order_audit_notes"],
+    }
+
+
+@register
+def constraint_violations(spark, folder):
+    return quality.violations(spoilt(spark, folder))
+
+
+@register
+def wrong_backfilled_totals(spark, folder):
+    """Totals worked out from the lines, and of some orders an amount or a number changed afterwards."""
+    tables = shop_tables(spark, folder)
+    lines = tables["customer_order_items"]
+    amount = F.expr("CASE WHEN customer_order_id % 300 = 7 THEN total_amount + 0.01 ELSE total_amount END")
+    number = F.expr("CASE WHEN customer_order_id % 500 = 8 THEN items_count - 1 ELSE items_count END")
+    stored = backfill_totals(tables["customer_orders"].drop("total_amount").withColumn("total_amount", F.lit(None)), lines)
+    return quality.wrong_totals(
+        stored.withColumns({"total_amount": amount.cast("decimal(14,2)"), "items_count": number}), lines
+    )
+
+
 @register
 def wrong_order_totals(spark, folder):
     tables = shop_tables(spark, folder)
