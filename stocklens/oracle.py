@@ -768,3 +768,90 @@ add(
 WHERE customer_order_id % 300 = 7 OR customer_order_id % 500 = 8""",
     TOTALS,
 )
+
+
+# --- overviews ----------------------------------------------------------------
+
+ORACLE["commits_and_rollbacks_per_second"] = """WITH transactions AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'rollback' ELSE 'commit' END AS metric, user_id % 5 AS db,
+         'node' || user_id % 2 AS instance, CAST(ts AS TIMESTAMP) AS ts, floor(value) AS value
+  FROM events WHERE user_id % 5 < 3
+), stepped AS (
+  SELECT metric, db, instance, epoch_us(ts) // 86400000000 * 86400 AS window_start, value,
+         lag(value) OVER (PARTITION BY metric, db, instance ORDER BY ts) AS before
+  FROM transactions
+), rates AS (
+  SELECT metric, db, instance, window_start,
+         sum(CASE WHEN value < before THEN value ELSE value - before END) / 86400 AS rate
+  FROM stepped WHERE before IS NOT NULL GROUP BY ALL
+)
+SELECT 'db' || a.db AS datname, instance, window_start, round(a.rate + b.rate, 9) AS rate
+FROM rates a JOIN rates b USING (db, instance, window_start) WHERE a.metric = 'commit' AND b.metric = 'rollback'"""
+
+OVERVIEW = f"""WITH taken AS (
+  SELECT *, event_id % 14 AS k FROM events
+), samples AS (
+  SELECT CASE k WHEN 0 THEN 'pg_up' WHEN 1 THEN 'pg_database_size_bytes' WHEN 2 THEN 'pg_stat_database_numbackends'
+           WHEN 6 THEN 'minio_cluster_capacity_usable_free_bytes' WHEN 7 THEN 'backup_last_size_bytes'
+           WHEN 8 THEN 'patroni_primary' WHEN 9 THEN 'patroni_replica' WHEN 10 THEN 'etcd_server_has_leader'
+           WHEN 11 THEN 'haproxy_server_up' WHEN 12 THEN 'haproxy_server_up' WHEN 13 THEN 'pg_replication_lag_seconds'
+           ELSE 'up' END AS metric,
+         CASE WHEN k NOT IN (1, 2) THEN '' WHEN user_id % 4 = 3 THEN 'template1' ELSE 'db' || user_id % 4 END AS datname,
+         'node' || user_id % 3 AS instance,
+         CASE k WHEN 3 THEN 'minio' WHEN 4 THEN 'backup_exporter' WHEN 5 THEN 'etcd' ELSE '' END AS job,
+         CASE k WHEN 11 THEN 'patroni_primary' WHEN 12 THEN 'patroni_replica' ELSE '' END AS backend, ts,
+         CASE WHEN k IN (1, 2, 6, 7, 13) THEN floor(value) WHEN value > 50 THEN 1.0 ELSE 0.0 END AS value
+  FROM taken
+), now AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY metric, datname, instance, job, backend ORDER BY ts DESC, value DESC) AS place
+    FROM samples WHERE ts <= {AS_OF}) WHERE place = 1
+)
+"""
+ORACLE["database_overview"] = OVERVIEW + """SELECT 'up' AS report, '' AS datname, max(value) AS value FROM now WHERE metric = 'pg_up'
+UNION ALL SELECT 'size_bytes', '', sum(value) FROM now WHERE metric = 'pg_database_size_bytes' AND datname <> 'template1'
+UNION ALL SELECT 'connections', datname, sum(value) FROM now
+  WHERE metric = 'pg_stat_database_numbackends' AND datname <> 'template1' GROUP BY datname"""
+ORACLE["backup_overview"] = OVERVIEW + """SELECT 'storage_up' AS report, max(value) AS value FROM now WHERE job = 'minio'
+UNION ALL SELECT 'exporter_up', max(value) FROM now WHERE job = 'backup_exporter'
+UNION ALL SELECT 'free_bytes', sum(value) FROM now WHERE metric = 'minio_cluster_capacity_usable_free_bytes'
+UNION ALL SELECT 'last_size_bytes', value FROM now WHERE metric = 'backup_last_size_bytes'"""
+ORACLE["cluster_counts"] = OVERVIEW + """SELECT
+  sum(value) FILTER (WHERE metric = 'patroni_primary') AS primaries,
+  sum(value) FILTER (WHERE metric = 'patroni_replica') AS replicas,
+  sum(value) FILTER (WHERE metric = 'etcd_server_has_leader') AS members_with_leader,
+  sum(value) FILTER (WHERE metric = 'up' AND job = 'etcd') AS members_up,
+  sum(value) FILTER (WHERE metric = 'haproxy_server_up' AND backend = 'patroni_primary') AS proxy_backends_up,
+  max(value) FILTER (WHERE metric = 'pg_up') AS database_up
+FROM now"""
+ORACLE["cluster_members"] = OVERVIEW + """SELECT metric, instance, job, backend, value FROM now
+WHERE metric IN ('patroni_primary', 'patroni_replica', 'etcd_server_has_leader', 'up', 'pg_up', 'haproxy_server_up',
+  'pg_replication_lag_seconds')"""
+
+# Ids after which shipment and receipt movements are numbered.
+SHIPMENT_BASE, RECEIPT_BASE = 540_000, 530_000
+
+
+def combined(apart: bool) -> str:
+    receipts_from = "(SELECT count(*) FROM shipped) + " if apart else ""
+    taken = "" if apart else "WHERE inventory_movement_id NOT IN (SELECT inventory_movement_id FROM received)"
+    base = SHIPMENT_BASE if apart else RECEIPT_BASE
+    columns = f"""inventory_movement_id, product_id, warehouse_id, movement_type, CAST(quantity AS DOUBLE) AS quantity,
+  {stamp('moved_at')} AS moved_at, employee_id"""
+    return f"""WITH lines AS (
+  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n, l_partkey AS product_id, o_custkey % 10 + 1 AS warehouse_id,
+         CAST(l_quantity AS DECIMAL(14,3)) AS quantity, CAST(o_orderdate AS TIMESTAMP) AS moved_at,
+         o_custkey % 7 + 1 AS employee_id, l_returnflag = 'R' AS came_back
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+), shipped AS (
+  SELECT *, {SHIPMENT_BASE} + row_number() OVER (ORDER BY n) AS inventory_movement_id, 'shipment' AS movement_type
+  FROM lines WHERE NOT came_back
+), received AS (
+  SELECT *, {receipts_from}{base} + row_number() OVER (ORDER BY n) AS inventory_movement_id, 'receipt' AS movement_type
+  FROM lines WHERE came_back
+)
+SELECT {columns} FROM shipped {taken} UNION ALL SELECT {columns} FROM received"""
+
+
+ORACLE["combined_movements"] = combined(apart=False)
+ORACLE["combined_movements_apart"] = combined(apart=True)

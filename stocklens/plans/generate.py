@@ -7,12 +7,15 @@ a shuffle. ``n`` is the seed count, ``as_of`` the clock.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stocklens import schemas
 from stocklens.functions.scalars import cyclic, days_before, instant, padded_phone
 from stocklens.operators.merge import insert_missing, upsert
-from stocklens.operators.ordered import assign_ids
+from stocklens.operators.ordered import assign_ids, next_id
 from stocklens.schemas import SEED_HISTORY
 from stocklens.sinks.versioned import publish, read_if_there, read_version
 from stocklens.sources.series import grid, inline_rows, series
@@ -359,22 +362,46 @@ MOVEMENT_SOURCES = [
     "supplier_order_items",
 ]
 KEEP_EXISTING = {"product_categories", "brands"}
+# Tables whose rows are not known by their id, with what they are known by.
+NATURAL_KEYS = {name: keys for step in (1, 2) for name, keys in SEED_STEPS[step].items()}
 
 
 def merge_table(spark: SparkSession, rows: DataFrame, path: str, name: str, keys: list[str]) -> None:
-    """Publish the table with ``rows`` merged in; ids of existing rows stay."""
+    """Publish the table with ``rows`` merged in; ids of existing rows stay, and new rows whose id one of
+    those has are numbered after all."""
     try:
         old = read_version(spark, path)
     except FileNotFoundError:
         publish(rows, path)
         return
+    row_id = rows.columns[0]
+    if row_id not in keys:
+        known, taken = old.select(*keys), old.select(row_id)
+        absent = rows.join(known, keys, "left_anti")
+        after = max(next_id(old, row_id), next_id(rows, row_id))
+        moved = assign_ids(absent.join(taken, row_id, "left_semi").drop(row_id), row_id, keys, start=after)
+        parts = [rows.join(known, keys, "left_semi"), absent.join(taken, row_id, "left_anti"), moved]
+        rows = reduce(DataFrame.unionByName, parts).select(*rows.columns)
     if name in KEEP_EXISTING:
         publish(insert_missing(old, rows, keys), path)
         return
-    row_id = rows.columns[0]
     publish(upsert(old, rows, keys, [c for c in rows.columns if c not in keys and c != row_id]), path)
 
 
+def with_stored_ids(spark: SparkSession, fresh: dict[str, DataFrame], path: str, name: str) -> DataFrame:
+    """Generated rows whose references are the ids under which the stored tables know their parents."""
+    rows = fresh[name]
+    for child, column, parent, parent_id in schemas.REFERENCES:
+        if child != name or parent not in NATURAL_KEYS:
+            continue
+        keys = NATURAL_KEYS[parent]
+        made = with_stored_ids(spark, fresh, path, parent).select(F.col(parent_id).alias(column), *keys)
+        stored = read_version(spark, f"{path}/{parent}").select(F.col(parent_id).alias("_stored"), *keys)
+        ids = made.join(stored, keys).select(column, "_stored")
+        rows = rows.join(ids, column).withColumn(column, F.col("_stored")).select(*fresh[name].columns)
+    return rows
+
+
 def run_seed_steps(
     spark: SparkSession, path: str, n: int, environment: str, as_of: object, upto: int = 5
 ) -> list[int]:
@@ -396,7 +423,7 @@ def run_seed_steps(
             if name == "inventory_movements":
                 rows = movements({t: read_version(spark, f"{path}/{t}") for t in MOVEMENT_SOURCES})
             else:
-                rows = fresh[name]
+                rows = with_stored_ids(spark, fresh, path, name)
             merge_table(spark, rows, f"{path}/{name}", name, keys)
         entry = spark.range(1).select(
             F.lit(version).cast("int").alias("seed_version"),

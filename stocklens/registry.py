@@ -21,6 +21,7 @@ from stocklens.operators.ordered import assign_by_bounds, assign_cyclic, assign_
 from stocklens.operators.ranking import sample_rows, top_by
 from stocklens.plans import dashboards, latency, metrics, orders, revenue
 from stocklens.plans.documents import order_documents, order_responses
+from stocklens.plans.generate import movements
 from stocklens.plans.turnover import turnover
 from stocklens.schemas import ORDER_STATUSES
 from stocklens.session import configure, fresh_dir
@@ -36,8 +37,11 @@ from stocklens.sources.shop import (
     deliver,
     delivered_messages,
     movement_changes,
+    movement_sources,
+    overview_samples,
     shop_tables,
     status_command_stream,
+    transaction_samples,
 )
 from stocklens.sources.tables import load_statements
 from stocklens.streaming import movements as movement_stream
@@ -551,6 +555,17 @@ def stream_status_events(spark, folder):
     return status_stream.read_events(*status_run(spark, folder)).drop("order_status_event_id")
 
 
+@register
+def combined_movements(spark, folder):
+    """Shipment movements, and the receipt movements that take over some of their ids."""
+    return movements(movement_sources(spark, folder))
+
+
+@register
+def combined_movements_apart(spark, folder):
+    return movements(movement_sources(spark, folder), non_overlapping_ids=True)
+
+
 # --- data quality -----------------------------------------------------------
 
 
@@ -666,6 +681,34 @@ def transactions_per_second(spark, folder):
     return rounded(flat_labels(rates, "datname", "instance", "state"), "rate", digits=9)
 
 
+@register
+def commits_and_rollbacks_per_second(spark, folder):
+    samples = transaction_samples(base(spark, folder, "events"))
+    rates = metrics.transactions_per_second(samples, window_seconds=86_400)
+    return rounded(flat_labels(rates, "datname", "instance"), "rate", digits=9)
+
+
+@register
+def database_overview(spark, folder):
+    return metrics.database_overview(overview_samples(base(spark, folder, "events")), AS_OF)
+
+
+@register
+def backup_overview(spark, folder):
+    return metrics.backup_overview(overview_samples(base(spark, folder, "events")), AS_OF)
+
+
+@register
+def cluster_counts(spark, folder):
+    return metrics.cluster_counts(overview_samples(base(spark, folder, "events")), AS_OF)
+
+
+@register
+def cluster_members(spark, folder):
+    members = metrics.member_states(overview_samples(base(spark, folder, "events")), AS_OF)
+    return flat_labels(members, "instance", "job", "backend")
+
+
 @register
 def connections_by_state(spark, folder):
     return metrics.connections_by_state(shop_tables(spark, folder)["samples"])

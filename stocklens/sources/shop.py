@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklens.functions.changes import to_messages
+from stocklens.operators.ordered import assign_ids
 from stocklens.sources.changes import stream_parquet
 
 # Six order states for five event types: 'signup' covers two, by event id.
@@ -213,6 +214,103 @@ def samples(events: DataFrame) -> DataFrame:
     )
 
 
+def transaction_samples(events: DataFrame) -> DataFrame:
+    """Commit and rollback counters of three databases and two templates on two nodes."""
+    name = F.expr("CASE user_id % 5 WHEN 3 THEN 'template0' WHEN 4 THEN 'template1' ELSE 'db' || user_id % 5 END")
+    rolled_back = "CASE WHEN event_id % 3 = 0 THEN 'pg_stat_database_xact_rollback' ELSE 'pg_stat_database_xact_commit' END"
+    node = F.expr("'node' || user_id % 2")
+    return events.select(
+        F.expr(rolled_back).alias("metric"),
+        F.create_map(F.lit("datname"), name, F.lit("instance"), node).alias("labels"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.floor("value").cast("double").alias("value"),
+    )
+
+
+# Gauges of the overview reports in the order in which the events take them; the job and the backend of those that have one.
+OVERVIEW_GAUGES = [
+    ("pg_up", "", ""),
+    ("pg_database_size_bytes", "", ""),
+    ("pg_stat_database_numbackends", "", ""),
+    ("up", "minio", ""),
+    ("up", "backup_exporter", ""),
+    ("up", "etcd", ""),
+    ("minio_cluster_capacity_usable_free_bytes", "", ""),
+    ("backup_last_size_bytes", "", ""),
+    ("patroni_primary", "", ""),
+    ("patroni_replica", "", ""),
+    ("etcd_server_has_leader", "", ""),
+    ("haproxy_server_up", "", "patroni_primary"),
+    ("haproxy_server_up", "", "patroni_replica"),
+    ("pg_replication_lag_seconds", "", ""),
+]
+
+
+def overview_samples(events: DataFrame) -> DataFrame:
+    """Samples of the gauges above on three nodes, of databases and templates for those about databases."""
+    gauges = F.array(*[F.struct(*[F.lit(text) for text in gauge]) for gauge in OVERVIEW_GAUGES])
+    gauge = F.get(gauges, F.expr(f"event_id % {len(OVERVIEW_GAUGES)}"))
+    rows = events.withColumn("gauge", gauge)
+    metric, job, backend = (F.col("gauge")[f"col{i}"] for i in (1, 2, 3))
+    name = F.expr("CASE user_id % 4 WHEN 3 THEN 'template1' ELSE 'db' || user_id % 4 END")
+    of_database = metric.isin("pg_database_size_bytes", "pg_stat_database_numbackends")
+    labels = {"datname": F.when(of_database, name).otherwise(""), "instance": F.expr("'node' || user_id % 3"), "job": job, "backend": backend}
+    state = F.when(F.col("value") > 50, 1.0).otherwise(0.0)
+    amount = metric.isin("pg_database_size_bytes", "pg_stat_database_numbackends", "backup_last_size_bytes",
+                         "minio_cluster_capacity_usable_free_bytes", "pg_replication_lag_seconds")
+    return rows.select(
+        metric.alias("metric"),
+        F.create_map(*[c for key, value in labels.items() for c in (F.lit(key), value)]).alias("labels"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(amount, F.floor("value").cast("double")).otherwise(state).alias("value"),
+    )
+
+
+def movement_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Shipped and received lines with their headers and the order lines they fulfil.
+
+    Lines that came back are receipts of a supplier's order, all others shipments of a customer's.
+    """
+    orders = base(spark, folder, "orders")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    lines = assign_ids(base(spark, folder, "lineitem").select(*order, "l_returnflag", "l_quantity"), "n", order)
+    number = F.col("n")
+    came_back = F.col("l_returnflag") == "R"
+    amount = F.col("l_quantity").cast("decimal(14,3)")
+    at = F.col("o_orderdate").cast("timestamp")
+
+    def header(key: str, at_name: str, by_name: str, of: str) -> DataFrame:
+        return orders.select(
+            F.col("o_orderkey").alias(key),
+            F.col("o_orderkey").alias(of),
+            (F.col("o_custkey") % 10 + 1).alias("warehouse_id"),
+            (F.col("o_custkey") % 7 + 1).alias(by_name),
+            at.alias(at_name),
+            F.lit("delivered").alias("status"),
+        )
+
+    def line(key: str, header_key: str, item_key: str, amount_name: str, kept: Column) -> DataFrame:
+        return lines.where(kept).select(
+            number.alias(key), F.col("l_orderkey").alias(header_key), number.alias(item_key), amount.alias(amount_name)
+        )
+
+    def item(key: str) -> DataFrame:
+        return lines.select(number.alias(key), F.col("l_partkey").alias("product_id"))
+
+    return {
+        "shipments": header("shipment_id", "shipped_at", "shipped_by_employee_id", "customer_order_id"),
+        "shipment_items": line(
+            "shipment_item_id", "shipment_id", "customer_order_item_id", "shipped_quantity", ~came_back
+        ),
+        "customer_order_items": item("customer_order_item_id"),
+        "goods_receipts": header("goods_receipt_id", "received_at", "accepted_by_employee_id", "supplier_order_id"),
+        "goods_receipt_items": line(
+            "goods_receipt_item_id", "goods_receipt_id", "supplier_order_item_id", "received_quantity", came_back
+        ),
+        "supplier_order_items": item("supplier_order_item_id"),
+    }
+
+
 def movement_versions(events: DataFrame) -> DataFrame:
     """Stock movement versions: each user has four movement ids that are written again and again."""
     kind = mapped(

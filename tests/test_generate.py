@@ -145,6 +145,22 @@ def test_merging_seed_rows_keeps_ids(spark, tmp_path, rows):
     assert found[-2:] == [(77, "Warehouse 1", "City 1"), (78, "Other", "X")] and len(found) == 4
 
 
+def test_seed_rows_beside_stored_ones_keep_ids_apart(spark, tmp_path):
+    """Two stored brands with ids that the seed would give to others: ids stay unique and references right."""
+    path = str(tmp_path / "shop")
+    old = spark.createDataFrame([(3, "Brand 2"), (1, "Own brand")], schemas.TABLES["brands"])
+    generate.merge_table(spark, old, f"{path}/brands", "brands", ["brand_name"])
+    assert generate.run_seed_steps(spark, path, 1, "dev", AS_OF) == [1, 2, 3, 4, 5]
+    brands = {r.brand_id: r.brand_name for r in read_version(spark, f"{path}/brands").collect()}
+    fresh = {r.brand_id: r.brand_name for r in generate.brands(spark, 1, AS_OF).collect()}
+    assert len(brands) == len(set(fresh.values()) | {"Own brand"}) == read_version(spark, f"{path}/brands").count()
+    assert brands[3] == "Brand 2" and brands[1] == "Own brand"
+    products = {r.product_name: brands[r.brand_id] for r in read_version(spark, f"{path}/products").collect()}
+    assert products == {r.product_name: fresh[r.brand_id] for r in generate.products(spark, 1, AS_OF).collect()}
+    tables = {n: read_version(spark, f"{path}/{n}") for n in [*generate.TABLES, "inventory_movements"]}
+    assert violations(tables).where("violations > 0").collect() == []
+
+
 def test_probe_movement(spark):
     made = generate.generate(spark, 1, AS_OF)
     row = generate.probe_movement(made, 990_001, AS_OF).first()
