@@ -128,70 +128,61 @@ def previous_value(
     return joined.select(*df.columns, before.alias(name))
 
 
-# Steps into which a range of values is cut at a time, and how often a range that holds a wanted place is cut again.
-STEPS = 4096
-CUTS = 3
+# How exact the sketch is that proposes where to cut the values of a group around a wanted place, and how far
+# from the place, as a share of all rows. Both decide how many values are sorted, never the result.
+ACCURACY = 10_000
+MARGIN = 0.0005
 
 
-def places_of(total: Column, probabilities: dict[str, float]) -> dict[str, Column]:
-    return {name: (total - 1) * F.lit(p) for name, p in probabilities.items()}
-
-
-def in_ranges(counts: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    inside = (F.col("_value") >= F.col("_least")) & (F.col("_value") <= F.col("_most"))
-    if not by:  # a few rows: no more than twice the number of quantiles
-        return counts.join(F.broadcast(ranges), inside)
-    keys = [F.col(name).alias(f"_range_{name}") for name in by]
-    same = [F.col(name).eqNullSafe(F.col(f"_range_{name}")) for name in by]
-    others = [c for c in ranges.columns if c not in by]
-    return counts.join(ranges.select(*keys, *others), [*same, inside]).drop(*[f"_range_{name}" for name in by])
-
-
-def wanted_ranges(counts: DataFrame, by: list[str], probabilities: dict[str, float]) -> DataFrame:
-    """The small ranges of values (``_least`` … ``_most``) of each group that hold the wanted places.
+def in_steps(
+    rows: DataFrame, counts: DataFrame, by: list[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """``counts`` with the ``_step`` of each value: steps end a little before and after every wanted place.
 
-    ``counts`` has distinct values (``_value``) with their numbers (``_n``).
-    The range of all values is cut into equal steps; a step that holds a
-    wanted place becomes a range of its own, from its least to its greatest
-    value, and is cut again. However the values lie, few of them are left in
-    the end. ``_before`` is how many rows of the group come before the range.
+    A place lies in a step of few values, however the values are spread, unless the sketch is wrong.
     """
-    ranges = counts.groupBy(*by).agg(
-        F.min("_value").alias("_least"), F.max("_value").alias("_most"), F.sum("_n").alias("_total")
+    near = sorted({min(max(p + side, 0.0), 1.0) for p in probabilities.values() for side in (-MARGIN, MARGIN)})
+    edges = rows.groupBy(*by).agg(F.percentile_approx(value, near, ACCURACY).alias("_edges"))
+    known = counts.join(edges, by) if by else counts.crossJoin(F.broadcast(edges))  # without groups a single row
+    step = F.size(F.filter("_edges", lambda edge: edge <= F.col("_value")))
+    return known.select(*counts.columns, step.alias("_step"))
+
+
+def wanted_steps(counts: DataFrame, by: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """The steps that hold a wanted place, with the number of rows before them and of all rows of the group."""
+    steps = counts.groupBy(*by, "_step").agg(F.sum("_n").alias("_in_step"))
+    steps = steps.withColumns(
+        {
+            "_end": F.sum("_in_step").over(Window.partitionBy(*by).orderBy("_step")),
+            "_total": F.sum("_in_step").over(Window.partitionBy(*by)),
+        }
     )
-    ranges = ranges.withColumn("_before", F.lit(0).cast("bigint")).where("_total > 0")
-    for _ in range(CUTS):
-        part = F.try_divide(F.col("_value") - F.col("_least"), F.col("_most") - F.col("_least")).cast("double")
-        step = F.coalesce(F.floor(part * STEPS), F.lit(0)).alias("_step")
-        steps = (
-            in_ranges(counts, ranges, by)
-            .groupBy(*by, F.col("_least").alias("_of"), "_before", "_total", step)
-            .agg(F.min("_value").alias("_least"), F.max("_value").alias("_most"), F.sum("_n").alias("_in_step"))
-        )
-        along = Window.partitionBy(*by, "_of").orderBy("_step")
-        steps = steps.withColumn("_end", F.col("_before") + F.sum("_in_step").over(along))
-        begin = F.col("_end") - F.col("_in_step")
-        places = [f(p).cast("bigint") for p in places_of(F.col("_total"), probabilities).values() for f in (F.floor, F.ceil)]
-        held = F.exists(F.array(*places), lambda k: (k >= begin) & (k < F.col("_end")))
-        ranges = steps.where(held).select(*by, "_least", "_most", "_total", begin.alias("_before"))
-    return ranges
+    begin = F.col("_end") - F.col("_in_step")
+    places = places_of(F.col("_total"), probabilities).values()
+    ends = F.array(*[f(p).cast("bigint") for p in places for f in (F.floor, F.ceil)])
+    held = F.exists(ends, lambda k: (k >= begin) & (k < F.col("_end")))
+    return steps.where(held).select(*by, "_step", "_total", begin.alias("_before"))
+
+
+def places_of(total: Column, probabilities: dict[str, float]) -> dict[str, Column]:
+    return {name: (total - 1) * F.lit(p) for name, p in probabilities.items()}
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact quantiles per group, linearly interpolated between neighbours.
 
     ``probabilities`` maps output names to fractions. Values are first reduced
-    to distinct ones with their counts. :func:`wanted_ranges` finds the few
-    that lie around the wanted places, and only those are sorted. No group
-    and no step is gathered whole.
+    to distinct ones with their counts. Counting them by :func:`in_steps`
+    finds the steps that hold the wanted places, and only those are sorted.
+    No group is gathered whole.
     """
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    along = Window.partitionBy(*by, "_least").orderBy("_value")
+    rows = df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = in_steps(rows, counts, by, value, probabilities)
+    inner = Window.partitionBy(*by, "_step").orderBy("_value")
     ranked = (
-        in_ranges(counts, wanted_ranges(counts, by, probabilities), by)
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(along))
+        counts.join(wanted_steps(counts, by, probabilities), [*by, "_step"])
+        .withColumn("_end", F.col("_before") + F.sum("_n").over(inner))
         .withColumn("_begin", F.col("_end") - F.col("_n"))
     )
     position = places_of(F.col("_total"), probabilities)

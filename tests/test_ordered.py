@@ -65,10 +65,11 @@ def test_previous_value_with_start(spark, rows):
     assert rows(found, "k", "o", "p") == [(1, 1, "s"), (1, 9, "a")]
 
 
-@pytest.mark.parametrize(("steps", "cuts"), [(2, 1), (3, 4), (4096, 3)])
-def test_quantiles(spark, monkeypatch, steps, cuts):
-    monkeypatch.setattr(ordered, "STEPS", steps)
-    monkeypatch.setattr(ordered, "CUTS", cuts)
+@pytest.mark.parametrize(("accuracy", "margin"), [(2, 0.0), (3, 0.2), (10_000, 0.0005)])
+def test_quantiles(spark, monkeypatch, accuracy, margin):
+    """The same with a sketch that is far off."""
+    monkeypatch.setattr(ordered, "ACCURACY", accuracy)
+    monkeypatch.setattr(ordered, "MARGIN", margin)
     random = numpy.random.default_rng(3)
     values = {"one": [4.25], "two": [1.0, 2.0], "many": random.exponential(40, 997).round(6).tolist()}
     values["hot"] = [5.0] * 600 + random.uniform(0, 90, 300).round(3).tolist()
@@ -89,9 +90,9 @@ def test_many_values_in_one_millisecond(spark):
     values = F.when(F.col("id") == 0, 1e9).otherwise(F.col("id") / 1e6)
     df = spark.range(0, 1_000_001, 1, 8).select(values.alias("v"), F.lit("hot").alias("g"))
     counts = df.groupBy("g", F.col("v").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    ranges = ordered.wanted_ranges(counts, ["g"], {"med": 0.5, "p90": 0.9})
-    left = ordered.in_ranges(counts, ranges, ["g"])
-    assert ranges.count() <= 4 and left.count() <= 20
+    placed = ordered.in_steps(df, counts, ["g"], "v", {"med": 0.5, "p90": 0.9})
+    wanted = ordered.wanted_steps(placed, ["g"], {"med": 0.5, "p90": 0.9})
+    assert wanted.count() == 2 and placed.join(wanted, ["g", "_step"]).count() <= 4000
     row = exact_quantiles(df, ["g"], "v", {"med": 0.5, "p90": 0.9, "p95": 0.95}).first()
     assert row[1:] == pytest.approx((0.500001, 0.900001, 0.950001), abs=1e-9)
     # No operator after the first grouping depends on how many values share a millisecond.
