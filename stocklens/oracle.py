@@ -855,3 +855,39 @@ SELECT {columns} FROM shipped {taken} UNION ALL SELECT {columns} FROM received""
 
 ORACLE["combined_movements"] = combined(apart=False)
 ORACLE["combined_movements_apart"] = combined(apart=True)
+
+# --- stored tables --------------------------------------------------------------
+
+add(
+    "orders_of_two_schemas",
+    """SELECT customer_order_id, status, CAST(NULL AS VARCHAR) AS delivery_window_start,
+  CASE WHEN customer_order_id % 3 <> 0 THEN delivery_priority END AS delivery_priority,
+  CASE WHEN customer_order_id % 3 <> 0 THEN CAST(total_amount AS DOUBLE) END AS total_amount
+FROM customer_orders""",
+)
+add(
+    "stored_requests",
+    f"""SELECT profile, CAST(status AS BIGINT) AS status, count(*) AS requests, count(*) FILTER (WHERE failed) AS failures,
+  {stamp("date_trunc('millisecond', min(ts))")} AS first_at, max(duration_ms) AS longest_ms
+FROM requests GROUP BY profile, status""",
+)
+add(
+    "stored_samples",
+    """SELECT metric, datname, instance, state, count(*) AS samples, max(value) AS greatest
+FROM samples GROUP BY metric, datname, instance, state""",
+)
+ORACLE["revenue_rebuilt"] = ORACLE["revenue_stored"]
+add(
+    "probing_movement",
+    f"""SELECT CAST(990001 AS BIGINT) AS inventory_movement_id, (SELECT min(product_id) FROM products) AS product_id,
+  (SELECT min(warehouse_id) FROM warehouses) AS warehouse_id, 'adjustment' AS movement_type, 11.111::DOUBLE AS quantity,
+  {AS_OF_TEXT} AS moved_at, (SELECT min(customer_id) FROM customers) AS employee_id""",
+)
+add(
+    "customer_contacts",
+    f"""SELECT customer_id, '+100000' || lpad(CAST(customer_id AS VARCHAR), CAST(greatest(5, length(CAST(customer_id AS VARCHAR))) AS INT), ' ') AS phone,
+  {stamp(f'{AS_OF} - to_days(CAST(customer_id % 400 AS INT))')} AS created_at,
+  strftime(CAST({AS_OF} AS DATE) - CAST(customer_id % 90 AS INT), '%Y-%m-%d') AS hired_at,
+  strftime(CAST({AS_OF} AS DATE) + CAST(customer_id % 30 AS INT), '%Y-%m-%d') AS expiration_date
+FROM customers""",
+)

@@ -15,19 +15,20 @@ from pyspark.sql.types import DateType, DecimalType, IntegerType, ShortType, Tim
 
 from stocklens.functions.changes import flatten_envelope, parse_changes, to_messages, typed_changes
 from stocklens.operators import quality
+from stocklens.functions.scalars import days_before, instant, padded_phone
 from stocklens.operators.latest import current_rows, latest_per_key
-from stocklens.operators.merge import backfill_totals, delete_keys, insert_missing, upsert
+from stocklens.operators.merge import backfill_totals, delete_keys, evolve, insert_missing, upsert
 from stocklens.operators.ordered import assign_by_bounds, assign_cyclic, assign_ids
 from stocklens.operators.ranking import sample_rows, top_by
 from stocklens.plans import dashboards, latency, metrics, orders, revenue
 from stocklens.plans.documents import order_documents, order_responses
-from stocklens.plans.generate import movements
+from stocklens.plans.generate import movements, probe_movement
 from stocklens.plans.turnover import turnover
-from stocklens.schemas import ORDER_STATUSES
+from stocklens.schemas import ORDER_STATUSES, schema
 from stocklens.session import configure, fresh_dir
 from stocklens.sinks.bucketed import upsert_into, write_bucketed
 from stocklens.sinks.periods import PERIOD, period_of, read_periods, within, write_periods
-from stocklens.sinks.versioned import export_csv
+from stocklens.sinks.versioned import append, export_csv
 from stocklens.sources.changes import read_change_files, snapshot_as_changes
 from stocklens.sources.shop import (
     base,
@@ -43,7 +44,7 @@ from stocklens.sources.shop import (
     status_command_stream,
     transaction_samples,
 )
-from stocklens.sources.tables import load_statements
+from stocklens.sources.tables import load_requests, load_samples, load_statements, load_table
 from stocklens.streaming import movements as movement_stream
 from stocklens.streaming import status as status_stream
 
@@ -566,6 +567,81 @@ def combined_movements_apart(spark, folder):
     return movements(movement_sources(spark, folder), non_overlapping_ids=True)
 
 
+# --- stored tables ------------------------------------------------------------
+
+
+@register
+def orders_of_two_schemas(spark, folder):
+    """Orders appended first without, then with the columns that were added later, read with the declared schema."""
+    path = fresh_dir(spark, "orders")
+    stored = shop_tables(spark, folder)["customer_orders"]
+    early = F.col("customer_order_id") % 3 == 0
+    first = stored.where(early).select("customer_order_id", "customer_id", "delivery_address", "created_at", "status")
+    append(first, path)
+    append(evolve(stored.where(~early), schema("customer_orders")), path)
+    columns = ["customer_order_id", "status", "delivery_window_start", "delivery_priority", "total_amount"]
+    return load_table(spark, "customer_orders", path).select(*columns)
+
+
+@register
+def stored_requests(spark, folder):
+    """The request log through JSON files: requests and failures per profile and status."""
+    path = fresh_dir(spark, "requests")
+    shop_tables(spark, folder)["requests"].write.json(path)
+    log = load_requests(spark, path, "json")
+    return log.groupBy("profile", "status").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if("failed").alias("failures"),
+        F.min("ts").alias("first_at"),
+        F.max("duration_ms").alias("longest_ms"),
+    )
+
+
+@register
+def stored_samples(spark, folder):
+    """Metric samples through Parquet files with their label maps: samples and greatest value per series."""
+    path = fresh_dir(spark, "samples")
+    shop_tables(spark, folder)["samples"].write.parquet(path)
+    flat = flat_labels(load_samples(spark, path), "datname", "instance", "state")
+    return flat.groupBy("metric", "datname", "instance", "state").agg(
+        F.count(F.lit(1)).alias("samples"), F.max("value").alias("greatest")
+    )
+
+
+@register
+def revenue_rebuilt(spark, folder):
+    """The stored aggregate, built of half the lines, after a refresh; where none was built there is nothing to refresh."""
+    tables, path = shop_tables(spark, folder), fresh_dir(spark, "revenue")
+    half = tables["customer_order_items"].where("product_id % 2 = 0")
+    names = ["customer_orders", "product_catalog", "customer_order_audit_notes"]
+    revenue.build_revenue_aggregate({**{n: tables[n] for n in names}, "customer_order_items": half}, path)
+    for target in (path, f"{path}-never-built"):
+        revenue.refresh_revenue_aggregate(spark, tables, target)
+    return revenue.read_version(spark, path)
+
+
+@register
+def probing_movement(spark, folder):
+    tables = shop_tables(spark, folder)
+    people = tables["customers"].select(F.col("customer_id").alias("employee_id"))
+    parts = {"products": tables["product_catalog"], "warehouses": tables["warehouses"], "employees": people}
+    return probe_movement(parts, 990_001, AS_OF)
+
+
+@register
+def customer_contacts(spark, folder):
+    """Padded phone numbers, and days counted back from the clock."""
+    number = F.col("customer_id")
+    now = instant(AS_OF)
+    return shop_tables(spark, folder)["customers"].select(
+        "customer_id",
+        padded_phone("+100000", number).alias("phone"),
+        days_before(now, (number % 400).cast("int")).alias("created_at"),
+        F.date_sub(F.to_date(now), (number % 90).cast("int")).alias("hired_at"),
+        F.date_add(F.to_date(now), (number % 30).cast("int")).alias("expiration_date"),
+    )
+
+
 # --- data quality -----------------------------------------------------------
 
 
