@@ -168,7 +168,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ``lang_pred`` is ``und`` with score 0 if the text is null, has no letter,
     or the model knows no language. Otherwise it is the likeliest language;
     ``rejected`` is set for ``und`` and for scores below the calibrated least
-    one. Every row is told by itself and from its whole text.
+    one; if the model knows no language, only texts without a letter are
+    rejected. Every row is told by itself and from its whole text.
     """
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
@@ -178,13 +179,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*known.languages, UNKNOWN], object)
         for batch in batches:
             row = batch.column("row")
-            which, score = told(batch.column("text"), known)
+            texts = batch.column("text")
+            which, score = told(texts, known)
+            rejected = (which < 0) | (score < known.least) if known.languages else ~has_letter(*lowered(texts))
             yield pa.RecordBatch.from_arrays(
                 [
                     row,
                     pa.array(names[which], pa.string()),
                     pa.array(score, pa.float64()),
-                    pa.array((which < 0) | (score < known.least), pa.bool_()),
+                    pa.array(rejected, pa.bool_()),
                 ],
                 names=["row", "lang_pred", "score", "rejected"],
             )
