@@ -31,6 +31,7 @@ from stocklens.sinks.periods import PERIOD, period_of, read_periods, within, wri
 from stocklens.sinks.versioned import append, export_csv
 from stocklens.sources.changes import read_change_files, snapshot_as_changes
 from stocklens.sources.shop import (
+    DELIVERIES,
     base,
     change_message_stream,
     change_messages,
@@ -310,13 +311,17 @@ def compacted_current_movements(spark, folder):
 
 
 def delivered(spark: SparkSession, folder: str) -> str:
-    """The change scenario, loaded file by file; half of the versions are raised to one ingest time."""
+    """The change scenario: a stream that is started anew after each delivery and goes on where it was.
+
+    Half of the versions are raised to one ingest time.
+    """
     path = fresh_dir(spark, "scenario")
     events = base(spark, folder, "events")
-    deliver(delivered_messages(events), f"{path}/in")
     ingest_ms = (events.agg(F.max("event_id")).first()[0] or 0) // 2
-    stream = read_change_files(spark, f"{path}/in/*", files_per_batch=1)
-    movement_stream.load_changes(stream, path, f"{path}/checkpoint", ingest_ms).awaitTermination()
+    for number in range(DELIVERIES + 1):
+        deliver(delivered_messages(events), number, f"{path}/in")
+        stream = read_change_files(spark, f"{path}/in/*")
+        movement_stream.load_changes(stream, path, f"{path}/checkpoint", ingest_ms).awaitTermination()
     return path
 
 

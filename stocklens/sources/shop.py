@@ -394,8 +394,7 @@ def delivered_messages(events: DataFrame) -> DataFrame:
     return first.unionByName(again)
 
 
-def deliver(messages: DataFrame, path: str) -> None:
-    """The deliveries as text files, one after the other; a key's messages of one delivery are in one file, by ``seq``."""
-    for number in range(DELIVERIES + 1):
-        part = messages.where(F.col("delivery") == number).repartition("key").sortWithinPartitions("key", "seq")
-        part.select("value").write.text(f"{path}/{number}")
+def deliver(messages: DataFrame, number: int, path: str) -> None:
+    """One delivery as text files; a key's messages are in one file, by ``seq``."""
+    part = messages.where(F.col("delivery") == number).repartition("key").sortWithinPartitions("key", "seq")
+    part.select("value").write.text(f"{path}/{number}")
