@@ -9,7 +9,7 @@ status; it is joined when steps are read, where unknown orders fall out too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,21 +29,26 @@ STATE = "status STRING, steps BIGINT"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def next_steps(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The commands of one order in a batch along ``seq``, after those of earlier batches."""
-    rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    status, steps = state.get if state.exists else (None, 0)
-    new = rows["status"].tolist()
-    state.update((new[-1], steps + len(new)))
-    yield pd.DataFrame(
-        {
-            "customer_order_id": rows["customer_order_id"].to_numpy(),
-            "seq": rows["seq"].to_numpy(),
-            "step": range(steps + 1, steps + len(new) + 1),
-            "old_status": [status, *new[:-1]],
-            "new_status": new,
-        }
-    )
+def stepper() -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The state function. It is made here so that it goes to the executors as it is, which then need pandas alone."""
+
+    def next_steps(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The commands of one order in a batch along ``seq``, after those of earlier batches."""
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        status, steps = state.get if state.exists else (None, 0)
+        new = rows["status"].tolist()
+        state.update((new[-1], steps + len(new)))
+        yield pd.DataFrame(
+            {
+                "customer_order_id": rows["customer_order_id"].to_numpy(),
+                "seq": rows["seq"].to_numpy(),
+                "step": range(steps + 1, steps + len(new) + 1),
+                "old_status": [status, *new[:-1]],
+                "new_status": new,
+            }
+        )
+
+    return next_steps
 
 
 def run_status_stream(
@@ -71,7 +76,7 @@ def run_status_stream(
         # RocksDB keeps states on disk, so their number is not bounded by memory.
         commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         steps = named.groupBy(*KEY).applyInPandasWithState(
-            next_steps, STEP, STATE, "append", GroupStateTimeout.NoTimeout
+            stepper(), STEP, STATE, "append", GroupStateTimeout.NoTimeout
         )
     label = source or (LOG_SOURCE if log_only else DEFAULT_SOURCE)
     rows = steps.withColumns({"changed_at": instant(as_of), "source": F.lit(label)})
