@@ -45,26 +45,29 @@ def forget(rows: DataFrame) -> None:
     path.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def assign_ids(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> DataFrame:
-    """Dense ids ``start, start+1, …`` in ``order_by`` order, as column ``name``.
-
-    Only the sort runs at once. Where its partitions begin is worked out when
-    the ids are read, from a table with one row per partition.
-    """
+def numbered(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> tuple[DataFrame, int]:
+    """The rows with dense ids ``start, start+1, …`` in ``order_by`` order, and how many there are."""
     rows = sorted_chunks(df, order_by)
-    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_chunk")) - F.col("_size")
-    offsets = sizes.select("_chunk", (before + start).alias("_first"))
-    ids = (F.col("_first") + F.col("_place")).alias(name)
-    out = rows.join(F.broadcast(offsets), "_chunk").select(*df.columns, ids)
+    # One number per sort partition comes to the driver: bounded by the
+    # partition count, not by the data.
+    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1))).orderBy("_chunk").collect()
+    firsts, used = [], 0
+    for chunk, size in sizes:
+        firsts.append(f"({chunk}L, {start + used}L)")
+        used += size
+    if firsts:
+        offsets = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(firsts)} AS offsets(_chunk, _first)")
+        ids = (F.col("_first") + F.col("_place")).alias(name)
+        out = rows.join(F.broadcast(offsets), "_chunk").select(*df.columns, ids)
+    else:
+        out = rows.select(*df.columns, F.lit(None).cast("bigint").alias(name))
     out.stored_at = rows.stored_at
-    return out
+    return out, used
 
 
-def numbered(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> tuple[DataFrame, int]:
-    """:func:`assign_ids`, and how many rows there are."""
-    rows = assign_ids(df, name, order_by, start)
-    return rows, df.sparkSession.read.parquet(rows.stored_at).count()
+def assign_ids(df: DataFrame, name: str, order_by: list[str | Column], start: int = 1) -> DataFrame:
+    """Dense ids ``start, start+1, …`` in ``order_by`` order, as column ``name``."""
+    return numbered(df, name, order_by, start)[0]
 
 
 def next_id(df: DataFrame, id_col: str) -> int:
