@@ -113,6 +113,26 @@ def test_scores_of_odd_rows(spark, documents):
     assert pitman_yor.score(learned.limit(0)).count() == 0
 
 
+def test_context_classes_come_from_all_learned_texts(spark):
+    # One text is long, and the frequent words of the last ones are in no others.
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "of", "Cat"], k=4)) for _ in range(2100)] + ["dog Bird " * 3000, "dog " * 9000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    keys, times = pitman_yor.frequent_words(docs)
+    near = pitman_yor.neighbours(docs, keys)
+    words = ["the", "of", "cat", "dog", "bird"]
+    data, starts, ends = pitman_yor.spans_of(pa.array(words))
+    place = dict(zip(words, np.searchsorted(keys, hash_spans(data, starts, ends).view(np.int64)).tolist(), strict=True))
+    lower = [t.lower().split() for t in texts]
+    assert {w: int(times[place[w]]) for w in words} == {w: sum(t.count(w) for t in lower) for w in words}
+    expected = np.zeros((5, 5))
+    for t in lower:
+        for gap in (1, 2):
+            for one, other in zip(t[gap:], t, strict=False):
+                expected[place[one], place[other]] += 1
+    assert (near == expected).all() and len(keys) == 5
+
+
 def test_formats_are_inferred():
     rng = random.Random(1)
     values = {"access": ["AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)) for _ in range(100)]}
