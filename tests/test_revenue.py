@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stocklens.session import configure
 from stocklens.plans import revenue
 from stocklens.plans.documents import order_documents, order_lines, order_responses
 from stocklens.sinks.versioned import newest
@@ -189,3 +190,10 @@ def test_response_text(spark, shop):
 def test_a_missing_amount_reads_as_zero(shop):
     bodies = [json.loads(r.body)["order"] for r in order_responses(order_documents(shop)).collect()]
     assert {b["order_id"]: b["total_amount"] for b in bodies}[1] == "0"
+
+
+def test_shuffles_of_tables_begin_with_many_partitions(spark):
+    # With the session's own few partitions, what a task holds grows with the tables.
+    configure(spark)
+    plan = spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()._jdf.queryExecution().executedPlan().toString()
+    assert ", 1000)" in plan
