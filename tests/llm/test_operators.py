@@ -1,5 +1,6 @@
 """Row-wise and bounded-model operators on small fixtures, with odd rows."""
 
+import collections
 import itertools
 import random
 
@@ -133,6 +134,52 @@ def test_context_classes_come_from_all_learned_texts(spark):
     assert (near == expected).all() and len(keys) == 5
 
 
+def test_words_are_told_by_the_word_in_front(spark, documents):
+    # Each word has one that follows it; which words there are and how often does not tell the two last texts apart.
+    rng = random.Random(4)
+    following = {i: (i * 7 + 3) % 41 for i in range(41)}
+
+    def walk(at, n=30):
+        words = [at]
+        while len(words) < n:
+            words.append(following[words[-1]])
+        return words
+
+    texts = [" ".join(f"w{i}" for i in walk(rng.randrange(41))) for _ in range(150)]
+    held = walk(5)
+    texts += [" ".join(f"w{i}" for i in held), " ".join(f"w{i}" for i in rng.sample(held, len(held)))]
+    rows = pitman_yor.score(documents(list(enumerate(texts))).selectExpr("*", "doc_id < 150 AS learned")).collect()
+    scores = {r.doc_id: r.score for r in rows}
+    assert scores[150] - scores[151] > 20
+
+
+def test_words_in_front_are_counted_in_all_learned_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = ["the", "of", "cat", "dog"] + [f"rare{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, [60, 40, 20, 10] + [1] * 300, k=rng.randrange(40))) for _ in range(300)]
+    rows = [(i, i, t, i % 5 > 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, mark bigint, text string, learned boolean").repartition(3)
+    monkeypatch.setattr(pitman_yor, "CLASSED_WORDS", 4)
+    learned = [t for _, _, t, known in rows if known]
+    frequent, times = pitman_yor.frequent_words(docs.where("learned"))
+    classes = pitman_yor.Classes.of(frequent, times, np.ones((4, 4)), 1)
+    tokens = pitman_yor.Tokens(pa.array(learned), classes)
+    pairs = collections.Counter(zip(tokens.before.tolist(), tokens.context.tolist(), tokens.keys.tolist(), strict=True))
+    contexts = collections.Counter((key, u) for _, u, key in pairs)
+    for parts in (1, 5):
+        found = pitman_yor.followed(docs, spark.sparkContext.broadcast(classes), parts)
+        assert {(r.key, r.context): r.n for r in found.where("context >= 0").collect()} == contexts
+        leaves = pitman_yor.Leaves.of(found)
+        ends = [*frequent.tolist(), int(tokens.keys[-1])]
+        for place, before in enumerate(ends):
+            for u in range(pitman_yor.CLASSES):
+                own = [n for (b, v, _), n in pairs.items() if (b, v) == (before, u)]
+                at = place * pitman_yor.CLASSES + u
+                assert (leaves.customers[at], leaves.tables[at]) == (sum(own), len(own))
+        once, twice = (sum(n == k for n in pairs.values()) for k in (1, 2))
+        assert leaves.discount == once / (once + 2 * twice)
+
+
 def test_formats_are_inferred():
     rng = random.Random(1)
     values = {"access": ["AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)) for _ in range(100)]}
